@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, tokens
+from . import bpe, langid, media, pii, tokens
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -19,11 +19,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a motion-JPEG AVI file, read back, with its shots."""
+    return media.media_documents(table(spark, sf_dir, "documents")).drop("clips")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, as digests, with the digest of what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs.where(~langid.held_out())))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-8 bytes and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
@@ -31,7 +42,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_media": op2_media,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_language": op7_language,
     "op10_token_counts": op10_token_counts,
 }
 
