@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, pii, tokens
+from . import bpe, html, langid, media, pii, tokens, urls
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -35,6 +35,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.where(~langid.held_out())))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+#: Rules of op9 (fixed values): host and path, verdict.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-8 bytes and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
@@ -45,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_language": op7_language,
+    "op8_main_text": op8_main_text,
+    "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
