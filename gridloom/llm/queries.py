@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, media, pii, tokens, urls
+from . import bpe, html, langid, license, media, pii, tokens, urls
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -24,6 +24,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(table(spark, sf_dir, "documents")).drop("clips")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and grants in every document."""
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, as digests, with the digest of what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -57,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_media": op2_media,
+    "op3_license_scan": op3_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_language": op7_language,
     "op8_main_text": op8_main_text,
