@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, license, media, pii, tokens, urls
+from . import bpe, decontam, html, langid, license, media, pii, tokens, urls
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -34,6 +34,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, and where."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_license_scan": op3_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
     "op8_main_text": op8_main_text,
     "op9_url_filter": op9_url_filter,
