@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
@@ -97,12 +98,31 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+#: Bytes that are hashed at a time; words are never cut.
+CHUNK = 1 << 21
+
+
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the maximal runs of word bytes in ``data``.
 
     ``is_word`` has one flag for each byte value. The hash of a run is a polynomial over its bytes, taken from
-    prefix sums modulo 2**64 and finalised, so the whole array is hashed without a Python loop.
+    prefix sums modulo 2**64 and finalised, so the whole array is hashed without a Python loop over words.
     """
+    if len(data) <= CHUNK:
+        return _word_hashes(data, is_word)
+    found, at = [], 0
+    while at < len(data):
+        stop = min(at + CHUNK, len(data))
+        while stop < len(data) and is_word[data[stop - 1]]:
+            gap = np.flatnonzero(~is_word[data[stop : stop + CHUNK]])
+            stop = stop + int(gap[0]) + 1 if len(gap) else min(stop + CHUNK, len(data))
+        starts, ends, hashes = _word_hashes(data[at:stop], is_word)
+        found.append((starts + at, ends + at, hashes))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+def _word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flag = is_word[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], flag, [False])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
@@ -115,6 +135,35 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, mix64(raw ^ ((ends - starts).astype(np.uint64) * _MIX1))
 
 
+class Bloom:
+    """A Bloom filter of one fixed size (8 MB), so that what is broadcast does not grow with the input.
+
+    Its bits are three disjoint parts of a 64-bit hash. Spark combines them word by word; the driver receives at most
+    the filter itself. A filter that is overfull only passes more than it need.
+    """
+
+    BITS, HASHES = 1 << 26, 3
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.bytes = words.view(np.uint8)
+
+    @classmethod
+    def of(cls, df: DataFrame, hash_col: str) -> Bloom:
+        bit = F.explode(F.array(*[F.shiftrightunsigned(hash_col, 19 * k).bitwiseAND(cls.BITS - 1) for k in range(cls.HASHES)]))
+        words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+        out = np.zeros(cls.BITS // 64, np.int64)
+        out[words["word"].to_numpy()] = words["bits"].to_numpy()
+        return cls(out)
+
+    def passed(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes (uint64) that may be in the filter."""
+        at = np.arange(len(hashes))
+        for k in range(self.HASHES):
+            bit = ((hashes[at] >> np.uint64(19 * k)) & np.uint64(self.BITS - 1)).astype(np.int64)
+            at = at[(self.bytes[bit >> 3] >> (bit & 7)) & 1 == 1]
+        return at
+
+
 def lower_table() -> np.ndarray:
     """Byte map that lower-cases A-Z and leaves every other byte."""
     out = np.arange(256, dtype=np.uint8)

@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, lower_table, map_batches, mix64, word_hashes, written
+from .common import Bloom, joined_bytes, lower_table, map_batches, mix64, word_hashes, written
 
 #: Masks (fixed): 1 is a word that counts, 0 one that is ignored.
 MASKS = ("110110101", "1110010011", "101001100101")
 SHORTEST, IDENTITY, LEAST_MATCHES = 5, 0.8, 13
 #: Hits closer than this many words make one run; a run carries this many words on either side.
 GAP, REACH = 16, 64
-#: Bits of the Bloom filter (8 MB) and bits set for a seed.
-FILTER_BITS, FILTER_HASHES = 1 << 26, 3
 
 _LOWER = lower_table()
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -94,25 +92,11 @@ def item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Dat
     return items, written(map_batches(items, seeded, f"hash long, item {kind}, at long"), "benchmark-seeds")
 
 
-def _bits(hashes: np.ndarray) -> list[np.ndarray]:
-    """The filter bits of each seed: disjoint parts of its hash."""
-    return [((hashes >> np.uint64(20 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for k in range(FILTER_HASHES)]
-
-
-def seed_filter(item_seeds: DataFrame) -> np.ndarray:
-    """Bloom filter of all seeds, of fixed size; combined by Spark word by word (64 bits)."""
-    place = F.explode(F.array(*[F.shiftrightunsigned("hash", 20 * k).bitwiseAND(FILTER_BITS - 1) for k in range(FILTER_HASHES)]))
-    words = item_seeds.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: ``id_col, item_col, doc_word, item_word, n_words, n_matches``
     (the best overlap), and ``text_key``, the hash of the document's text."""
     items, item_seeds = item_tables(benchmark, item_col, item_text_col)
-    known = documents.sparkSession.sparkContext.broadcast(seed_filter(item_seeds))  # FILTER_BITS, whatever the input
+    known = documents.sparkSession.sparkContext.broadcast(Bloom.of(item_seeds, "hash"))  # of fixed size
     size = F.expr("octet_length(words) div 8")
     short = tuple(sorted(int(r[0]) for r in items.where((size >= SHORTEST) & (size < min(_SPANS))).select(size).distinct().collect()))  # at most as many as a mask is long
     kind = dict(documents.dtypes)[id_col]
@@ -122,10 +106,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         bloom = known.value
         at, found, spans = [], [], []
         for places, own, span in seeds(hashes, first, short):
-            passed = np.arange(len(own))
-            for bits in range(FILTER_HASHES):
-                bit = _bits(own[passed])[bits]
-                passed = passed[(bloom[bit >> 3] >> (bit & 7)) & 1 == 1]
+            passed = bloom.passed(own)
             at.append(places[passed])
             found.append(own[passed])
             spans.append(np.full(len(passed), span))

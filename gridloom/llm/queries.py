@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html, langid, license, media, pii, tokens, urls
+from . import bpe, decontam, html, langid, license, media, neardup, pii, tokens, urls
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,6 +29,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on 2-word shingles at a similarity of 0.8."""
+    return neardup.group(table(spark, sf_dir, "documents"), size=2, threshold=(80, 100)).drop("text_key")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, as digests, with the digest of what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_media": op2_media,
     "op3_license_scan": op3_license_scan,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
