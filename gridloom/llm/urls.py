@@ -13,8 +13,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +64,7 @@ def _level(nodes: DataFrame, k: int) -> DataFrame:
     seg, sums = f"g{k}", [F.sum(c).alias(c) for c in ("n", "allowed", "blocked")]
     children = nodes.groupBy("key", seg).agg(*sums, F.first("purity").alias("above"))
     fans = children.groupBy("key").agg(F.count("*").alias("fan"))
-    children = children.join(fans, "key")
+    children = written(children.join(fans, "key"), "url-children")
     wild = (F.col("fan") > FANOUT) & (F.col("n") < CHILD_ROWS)
     labelled = F.col("allowed") + F.col("blocked")
     own = (F.col("blocked") + SMOOTHING * F.col("above")) / (labelled + SMOOTHING)
@@ -101,7 +99,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     nodes = leaves.join(hosts, "host").withColumn("key", F.col("host"))
     for k in range(DEPTH):
         nodes = nodes.withColumn(f"g{k}", F.when(F.col(f"g{k}") != "", F.col(f"g{k}")))
-    nodes = reduce(_level, range(DEPTH), nodes)
+    for k in range(DEPTH):  # each level is read several times by the next, so it is written
+        nodes = _level(written(nodes, "url-nodes"), k)
     back = [F.coalesce(f"g{k}", F.lit("")).alias(f"g{k}") for k in range(DEPTH)]
     found = written(nodes.select("host", *back, F.col("key").alias("template"), "purity"), "url-templates")
     by_method = F.when(F.col("purity") > REJECT_AT, "block").otherwise("allow")
