@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file where the caller knows how many rows a table has.
+ROWS_A_FILE = 1 << 20
+#: Row groups of intermediates are small, so that a writer holds little in memory.
+GROUP_BYTES = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
@@ -14,11 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (where or f"file://{tempfile.gettempdir()}/gridloom-shared").rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows``, a bound on the number of rows, keeps small tables from becoming one tiny file a shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)
+    out.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
