@@ -1,9 +1,7 @@
-"""Shared helpers: table access, bounded Arrow batches, byte-level word tables, written intermediates."""
+"""Shared helpers: table access, bounded Arrow batches, byte-level word hashes, a Bloom filter of fixed size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import discard, shared_dir, written
+
+__all__ = ["Bloom", "bounded", "discard", "joined_bytes", "lower_table", "map_batches", "mix64", "shared_dir", "table", "texts", "word_hashes", "written"]
+
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
-BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -44,31 +46,6 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/gridloom-shared"
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a ``written`` table once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Multiplier of the polynomial word hash and the two of the finaliser (fixed odd values).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -99,7 +76,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes that are hashed at a time; words are never cut.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,9 +7,9 @@ rotated by ``t * VALUES / TREES`` places. Neighbours in an order that share a pr
 Orders are sorted by range over the cluster, so a dense region is spread over tasks; the rows at the ends of the ranges
 are linked in a second pass.
 
-Candidates whose signatures agree far below the threshold go. The others are confirmed on full shingle sets: first each
-class with its most similar smaller partner, then, once those links are joined to components, all pairs that still lie
-between components. Components come from large-star and small-star rounds on written tables.
+Candidates whose signatures agree far below the threshold go. The others are confirmed on full shingle sets, in rounds:
+each class with its most similar smaller partners first, and in the last round all pairs that still lie between
+components; at last each class that missed a component is held against the component's hubs. Components come from hooking and pointer jumping on written tables.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case; shingles are distinct runs of ``size`` words,
 the whole sequence if there are fewer.
@@ -26,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import stars
 from .common import Bloom, discard, joined_bytes, lower_table, map_batches, mix64, texts, word_hashes, written
 
-VALUES, TREES, REACH, LEAST_DEPTH = 128, 16, 8, 3
+VALUES, TREES, REACH, LEAST_DEPTH = 128, 16, 4, 3
 #: Values of the signature that a row of an order carries, the first ones being its sort key.
 CARRIED = 64
 #: Signatures may agree this much less than the threshold before a candidate goes (four deviations at 0.8).
 SLACK = 0.2
+#: Pairs of a class that are confirmed in the first round.
+FIRST_PARTNERS = 3
 #: Rows of an order that a worker compares at a time.
 WINDOW_ROWS = 8192
 
@@ -92,7 +95,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """``members`` (id, text_key, class, n_shingles) of every row, and ``nodes`` (class, least, sig) of every class."""
+    """``members`` (id, text_key, class, n_shingles) of every row, and ``nodes`` (class, least, copies, sig) of every class."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,7 +106,7 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, pa.array([len(s) for s in sets], pa.int64()), sig], ["id", "text_key", "class", "n_shingles", "sig"])
 
     each = written(map_batches(docs.select("id", "text_key", "text"), run, f"id {kind}, text_key long, class binary, n_shingles long, sig binary"), "dup-rows")
-    nodes = written(each.where("class is not null").groupBy("class", "sig").agg(F.min("id").alias("least")), "dup-nodes")
+    nodes = written(each.where("class is not null").groupBy("class", "sig").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "dup-nodes")
     members = written(each.drop("sig"), "dup-members")
     discard(each)
     return members, nodes
@@ -203,25 +206,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int
     return map_batches(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """Components of ``edges`` (a, b) as ``node, root`` of every node but the roots; root is the component's least."""
-    now = written(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("a != b").distinct(), "dup-star")
-    digest = None
-    while True:
-        # Large star: the larger neighbours of a node go to the least of its neighbourhood.
-        both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
-        # Small star: a node and its smaller neighbours go to the least of these.
-        least = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(least, "node").where("root != m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        new = written(small.unionByName(least.select("node", F.col("m").alias("root"))).distinct(), "dup-star")
-        discard(now)
-        now = new
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first()
-        if seen == digest:
-            return now
-        digest = seen
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with ``root_a`` and ``root_b`` (null for a class without links)."""
+    tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    of = lambda side: tops.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not root_a <=> root_b or root_a is null")
+
+
+def hub_pairs(missed: DataFrame, pairs: DataFrame, nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs of a class that just missed a component with the component's hubs, where they are not candidates yet.
+
+    In a dense region an order shows each class a few neighbours only. What varies one text is close to that text, not
+    to its other variants, so a class with a candidate in a component that it is no part of is held against that
+    component's hubs: the class with most copies, and the one whose candidates agree most in all. At most two pairs a
+    class and component.
+    """
+    near = missed.select(F.col("a").alias("one"), F.col("root_b").alias("root")).unionByName(missed.select(F.col("b").alias("one"), F.col("root_a").alias("root")))
+    near = near.where("root is not null").distinct()
+    agree = pairs.select(F.explode(F.array("a", "b")).alias("node"), "agree").groupBy("node").agg(F.sum("agree").alias("total"))
+    ranked = tops.join(nodes.select(F.col("class").alias("node"), "copies"), "node").join(agree, "node", "left")
+    hubs = ranked.groupBy("root").agg(F.max(F.struct("copies", "node")).alias("x"), F.max(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "node")).alias("y"))
+    hubs = hubs.select("root", F.explode(F.array_distinct(F.array("x.node", "y.node"))).alias("hub"))
+    found = near.join(hubs, "root").where("one != hub").select(F.least("one", "hub").alias("a"), F.greatest("one", "hub").alias("b")).distinct()
+    return found.join(pairs, ["a", "b"], "left_anti")
 
 
 def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,17 +251,20 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
     full = map_batches(keyed, passed, keyed.schema).drop("key").dropDuplicates(["id", "text_key"])
     sets = written(full.join(some, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).select("class", "text"), "dup-texts")
 
-    best = pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("one")).select(F.col("one.a").alias("a"), "b")
-    links = written(confirmed(best, sets, size, threshold), "dup-links")
-    roots = stars(links)
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = written(confirmed(rest, sets, size, threshold), "dup-links")
-    if not more.isEmpty():
-        roots = stars(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    # Links are confirmed in rounds: for each class its most similar partners first, then all pairs that are left between
+    # components. Most pairs fall inside a component before their turn.
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))  # at most 2 * REACH * TREES rows
+    first = written(pairs.withColumn("r", rank).where(F.col("r") <= FIRST_PARTNERS).drop("r"), "dup-turn")
+    roots = stars(confirmed(first, sets, size, threshold))
+    left = written(between(pairs.join(first, ["a", "b"], "left_anti"), roots).select("a", "b", "agree"), "dup-turn")
+    roots = stars(written(confirmed(left, sets, size, threshold), "dup-links").unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    missed = between(first.unionByName(left), roots)
 
     tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    more = written(confirmed(hub_pairs(missed, pairs, nodes, tops), sets, size, threshold), "dup-links")
+    if not more.isEmpty():
+        roots = stars(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = nodes.select(F.col("class").alias("node"), "least")
     grouped = tops.join(named, "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("top"))
