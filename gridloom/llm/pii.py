@@ -159,7 +159,7 @@ def _accounts(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]
             if _iban(m[0]):
                 out.append(m.span())
                 continue
-        if (m := _NAMED_NUMBER.match(text, end)) and sum(c in _DIGITS for c in m[1]) >= 6:
+        if text[start:end].lower() != "iban" and (m := _NAMED_NUMBER.match(text, end)) and sum(c in _DIGITS for c in m[1]) >= 6:
             out.append(m.span(1))
     return out
 

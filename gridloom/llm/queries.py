@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, html, langid, license, media, neardup, pii, tokens, urls
 from .common import table
+from .oracles import license_sql
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others learn, tokenize, decode or join similar sets, which SQL cannot do or not on whole tables; they are tested
+#: against brute-force versions.
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql()}
