@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
+from . import urls
 from .license import BLOCK, STRIDE, TEMPLATES
 
 
@@ -38,3 +39,60 @@ b AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (
 a AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM h) GROUP BY doc_id)
 SELECT d.doc_id, d.n_words, CAST(coalesce(g.n_base, 0) AS BIGINT) AS n_base, g.first_word, g.last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(g.score, 0.0) AS score
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+#: Exact near-duplicate components: pairs by a prefix filter on the rarest shingles, counted in full, closed by recursion.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END) AS s FROM l)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT s, count(*) AS f FROM s GROUP BY s),
+p AS (SELECT s.doc_id, s.s, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.s) AS k FROM s JOIN f ON f.s = s.s JOIN n ON n.doc_id = s.doc_id),
+q AS (SELECT doc_id, s, n FROM p WHERE k <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM q a JOIN q b ON a.s = b.s AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+o AS (SELECT c.a, c.b, c.na, c.nb, count(*) AS common FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.s = x.s GROUP BY 1, 2, 3, 4),
+e AS (SELECT a, b FROM o WHERE 100 * common >= 80 * (na + nb - common)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS root FROM e2 UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
+
+
+def url_sql(rules: list[tuple[str, str]]) -> str:
+    """Host, path, rule, verdict, template and purity of every page, level by level."""
+    fits = []
+    for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        host, slash, path = rule.partition("/")
+        fits.append((f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{slash}{path}')", rule))
+    of_rule = "CASE " + " ".join(f"WHEN {test} THEN '{rule}'" for test, rule in fits) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules) + " END"
+    segment = lambda k: f"regexp_replace(list_extract(parts, {k}), '{urls.VARIABLE}', '*', 'g')"
+    general = [f"coalesce(CASE WHEN length(list_extract(parts, {k})) > {urls.LONG_SEGMENT} OR regexp_matches({segment(k)}, '{urls.WILD}') THEN '*' ELSE {segment(k)} END, '')" for k in range(1, urls.DEPTH + 1)]
+    g = [f"g{k}" for k in range(urls.DEPTH)]
+    m, names = f"CAST({urls.SMOOTHING} AS DOUBLE)", ", ".join(g)
+    out = [
+        "u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"r0 AS (SELECT page_id, host, path, {of_rule} AS rule, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h)",
+        f"r AS (SELECT page_id, host, path, rule, {verdict} AS by_rule, " + ", ".join(f"{e} AS {n}" for e, n in zip(general, g, strict=True)) + " FROM r0)",
+        f"leaves AS (SELECT host, {names}, count(*) AS n, count(CASE WHEN by_rule = 'allow' THEN 1 END) AS a, count(CASE WHEN by_rule = 'block' THEN 1 END) AS b FROM r GROUP BY host, {names})",
+        "total AS (SELECT (sum(b) + 1) / CAST(sum(a) + sum(b) + 2 AS DOUBLE) AS p FROM leaves)",
+        f"hosts AS (SELECT host, (sum(b) + {m} * max(total.p)) / (sum(a) + sum(b) + {m}) AS purity FROM leaves, total GROUP BY host)",
+        f"n0 AS (SELECT leaves.host, {names}, n, a, b, leaves.host AS key, purity FROM leaves JOIN hosts ON hosts.host = leaves.host)",
+    ]
+    for k in range(urls.DEPTH):
+        noise = f"sqrt(up * (1 - up) / (a + b + {m}))"
+        out += [
+            f"c{k} AS (SELECT key, g{k} AS seg, sum(n) AS n, sum(a) AS a, sum(b) AS b, max(purity) AS up FROM n{k} GROUP BY 1, 2)",
+            f"w{k} AS (SELECT *, count(*) OVER (PARTITION BY key) AS fan FROM c{k})",
+            f"b{k} AS (SELECT *, CASE WHEN seg = '' THEN '' WHEN (fan > {urls.FANOUT} AND n < {urls.CHILD_ROWS}) OR abs((b + {m} * up) / (a + b + {m}) - up) <= {urls.DEVIATIONS} * {noise} THEN '*' ELSE seg END AS branch FROM w{k})",
+            f"p{k} AS (SELECT key, branch, (sum(b) + {m} * max(up)) / (sum(a) + sum(b) + {m}) AS next FROM b{k} GROUP BY 1, 2)",
+            f"n{k + 1} AS (SELECT x.host, " + ", ".join(f"x.{c}" for c in g) + f", x.n, x.a, x.b, CASE WHEN v.branch = '' THEN x.key ELSE x.key || '/' || v.branch END AS key, CASE WHEN v.branch = '' THEN x.purity ELSE p{k}.next END AS purity "
+            f"FROM n{k} x JOIN b{k} v ON v.key = x.key AND v.seg = x.g{k} JOIN p{k} ON p{k}.key = v.key AND p{k}.branch = v.branch)",
+        ]
+    last = f"n{urls.DEPTH}"
+    on = " AND ".join(f"t.{c} = r.{c}" for c in ("host", *g))
+    return "WITH " + ",\n".join(out) + f"""
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN t.purity > {urls.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, t.key AS template, round(t.purity, 9) AS purity
+FROM r JOIN {last} t ON {on}"""

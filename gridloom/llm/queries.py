@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, langid, license, media, neardup, pii, tokens, urls
 from .common import table
-from .oracles import license_sql
+from .oracles import NEAR_DUPLICATES, license_sql, url_sql
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +63,7 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 9))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others learn, tokenize, decode or join similar sets, which SQL cannot do or not on whole tables; they are tested
 #: against brute-force versions.
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql()}
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_near_duplicates": NEAR_DUPLICATES, "op9_url_filter": url_sql(URL_RULES)}

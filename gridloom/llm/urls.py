@@ -25,6 +25,9 @@ FANOUT, CHILD_ROWS = 40, 8
 #: Weight of the parent's rate, deviations that tell a branch from its parent, and the purity that rejects.
 SMOOTHING, DEVIATIONS, REJECT_AT = 4.0, 2.0, 0.5
 
+#: What varies in a segment, and what a segment is once nothing else is left (an extension may stay).
+VARIABLE, WILD, LONG_SEGMENT = r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{8,}|[0-9]+", r"^\**(\.\w{1,5})?$", 40
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,8 +58,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 def general(segment: Column) -> Column:
     """A segment with its variable part as a wildcard: numbers, hexadecimal and long mixed identifiers."""
-    plain = F.regexp_replace(segment, r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?=[a-f]*[0-9])[0-9a-f]{8,}|[0-9]+", "*")
-    return F.when((F.length(segment) > 40) | plain.rlike(r"^\**(\.\w{1,5})?$"), F.lit("*")).otherwise(plain)
+    plain = F.regexp_replace(segment, VARIABLE, "*")
+    return F.when((F.length(segment) > LONG_SEGMENT) | plain.rlike(WILD), F.lit("*")).otherwise(plain)
 
 
 def _level(nodes: DataFrame, k: int) -> DataFrame:

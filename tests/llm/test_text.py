@@ -184,10 +184,11 @@ def test_license_containment(spark):
         assert ("bsd-grant" in got[k]) == (n >= need)
 
 
-def test_license_query_is_that_of_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_is_that_of_sql(spark, name):
     from tests.compare import assert_same
 
-    assert_same(queries.op3_license_scan(spark, SF), SF, queries.ORACLES["op3_license_scan"])
+    assert_same(queries.QUERIES[name](spark, SF), SF, queries.ORACLES[name])
 
 
 def test_license_query_is_native(spark):
