@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Bloom, joined_bytes, lower_table, map_batches, mix64, word_hashes, written
 
 #: Masks (fixed): 1 is a word that counts, 0 one that is ignored.
-MASKS = ("110110101", "1110010011", "101001100101")
+MASKS = ("110110101", "1110010011", "101001100101", "11010001011", "1100101010001")
 SHORTEST, IDENTITY, LEAST_MATCHES = 5, 0.8, 13
 #: Hits closer than this many words make one run; a run carries this many words on either side.
 GAP, REACH = 16, 64

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from . import urls
+from . import decontam, urls
 from .license import BLOCK, STRIDE, TEMPLATES
 
 
@@ -96,3 +96,32 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
     return "WITH " + ",\n".join(out) + f"""
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN t.purity > {urls.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, t.key AS template, round(t.purity, 9) AS purity
 FROM r JOIN {last} t ON {on}"""
+
+
+def overlap_sql() -> str:
+    """Best overlap of every document and item on the diagonals of seed hits; seeds are the words themselves here."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    plans = [(k, len(m), [i for i, c in enumerate(m) if c == "1"]) for k, m in enumerate(decontam.MASKS)]
+    shortest = min(span for _, span, _ in plans)
+    whole = [(100 + n, n, list(range(n))) for n in range(decontam.SHORTEST, shortest)]
+
+    def seeds(source: str, ident: str, plan: list, test: str) -> str:
+        one = "SELECT {id}, {m} AS m, p, concat_ws(' ', {w}) AS s FROM (SELECT {id}, w, unnest(range(len(w) - {n} + 1)) AS p FROM {source} WHERE len(w) {test} {n})"
+        return " UNION ALL ".join(one.format(id=ident, m=m, w=", ".join(f"w[p + {o + 1}]" for o in at), n=n, source=source, test=test) for m, n, at in plan)
+
+    key = "doc_id, item_id, shift"
+    return f"""
+WITH l AS (SELECT doc_id, {words} AS w FROM documents),
+i AS (SELECT item_id, {words} AS w FROM benchmark),
+sd AS ({seeds("l", "doc_id", plans + whole, ">=")}),
+si AS ({seeds("i", "item_id", plans, ">=")} UNION ALL {seeds("i", "item_id", whole, "=")}),
+k AS (SELECT DISTINCT sd.doc_id, si.item_id, sd.p - si.p AS shift FROM sd JOIN si ON sd.m = si.m AND sd.s = si.s),
+a AS (SELECT k.doc_id, k.item_id, k.shift, l.w AS dw, i.w AS iw, unnest(range(greatest(0, -k.shift), least(len(i.w), len(l.w) - k.shift))) AS j FROM k JOIN l ON l.doc_id = k.doc_id JOIN i ON i.item_id = k.item_id),
+e AS (SELECT {key}, len(iw) AS item_words, j, CASE WHEN dw[j + shift + 1] = iw[j + 1] THEN 1 ELSE 0 END AS same FROM a),
+c AS (SELECT *, sum(CASE WHEN same = 1 THEN 1 ELSE -2 END) OVER (PARTITION BY {key} ORDER BY j) AS sc FROM e),
+v AS (SELECT *, least(0, min(sc) OVER (PARTITION BY {key} ORDER BY j)) AS lo FROM c),
+b AS (SELECT {key}, item_words, j AS last, lo FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sc - lo DESC, j) AS r FROM v) WHERE r = 1 AND sc > lo),
+f AS (SELECT b.doc_id, b.item_id, b.shift, b.item_words, b.last, coalesce(max(CASE WHEN v.sc = b.lo AND v.j < b.last THEN v.j + 1 END), min(v.j)) AS first FROM b JOIN v ON v.doc_id = b.doc_id AND v.item_id = b.item_id AND v.shift = b.shift GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT f.doc_id, f.item_id, f.first + f.shift AS doc_word, f.first AS item_word, f.item_words, f.last - f.first + 1 AS n_words, CAST(sum(e.same) AS BIGINT) AS n_matches FROM f JOIN e ON e.doc_id = f.doc_id AND e.item_id = f.item_id AND e.shift = f.shift AND e.j BETWEEN f.first AND f.last GROUP BY 1, 2, 3, 4, 5, 6),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC, n_words DESC, doc_word, item_word) AS r FROM g WHERE n_matches >= {decontam.IDENTITY} * n_words AND n_matches >= least({decontam.LEAST_MATCHES}, {decontam.IDENTITY} * item_words))
+SELECT doc_id, item_id, CAST(doc_word AS BIGINT) AS doc_word, CAST(item_word AS BIGINT) AS item_word, CAST(n_words AS BIGINT) AS n_words, n_matches FROM o WHERE r = 1"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, langid, license, media, neardup, pii, tokens, urls
 from .common import table
-from .oracles import NEAR_DUPLICATES, license_sql, url_sql
+from .oracles import NEAR_DUPLICATES, license_sql, overlap_sql, url_sql
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The others learn, tokenize, decode or join similar sets, which SQL cannot do or not on whole tables; they are tested
 #: against brute-force versions.
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_near_duplicates": NEAR_DUPLICATES, "op9_url_filter": url_sql(URL_RULES)}
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_near_duplicates": NEAR_DUPLICATES, "op6_decontamination": overlap_sql(), "op9_url_filter": url_sql(URL_RULES)}
