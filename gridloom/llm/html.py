@@ -41,12 +41,14 @@ DROPPED_WORDS = frozenset(
     "skip search form copyright".split()
 )
 SAFE_FROM_WORDS = frozenset(("html", "body", "main", "article"))
+#: Levels of a container's path, from the container outward.
+PATH_LEVELS = 24
 #: An open element that the start of another ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that such an implied end does not reach beyond.
 BARRIERS = frozenset("table td th ul ol dl div section article main body aside nav footer header form blockquote".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]{0,65536}"|=\s*'[^']{0,65536}'|[^>])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -57,7 +59,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parents: list[int] = [-1]
-        self.paths: list[str] = ["body"]
+        self.labels: list[str] = ["body"]
+        self.depths: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
 
@@ -94,10 +97,10 @@ class Page:
             if not m:
                 break
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if m[1] or m[4]:
+            if m[1]:
                 if tag == "br":
                     buffer.append(" ")
                 for i in range(len(stack) - 1, -1, -1):
@@ -107,7 +110,7 @@ class Page:
                     if tag in INLINE and stack[i][0] in BARRIERS or tag in ("p", "li") and stack[i][0] in ("table", "td", "article", "section", "body"):
                         break
                 continue
-            rest = m[3] if m[2] else m[6]
+            rest = m[3]
             if tag == "br" or tag in ("wbr", "img", "input"):
                 if tag == "br" and not dropped:
                     buffer.append(" ")
@@ -115,12 +118,10 @@ class Page:
             if tag not in INLINE:
                 ended = CLOSES.get(tag)
                 for i in range(len(stack) - 1, -1, -1):
-                    if ended and stack[i][0] in ended or stack[i][0] == "p":
+                    if stack[i][0] == "p" or ended and stack[i][0] in ended:
                         close(i)
-                        if not ended or stack and not any(s[0] in ended for s in stack[-3:]):
-                            break
                         break
-                    if stack[i][0] in BARRIERS and not (ended and stack[i][0] in ended):
+                    if stack[i][0] in BARRIERS:
                         break
                 flush()
             if tag in VOID:
@@ -147,10 +148,19 @@ class Page:
                 dropped = True
             if tag in CONTAINERS and not dropped:
                 self.parents.append(container)
-                self.paths.append(self.paths[container] + "/" + ".".join([tag, *sorted(set(words))]))
+                self.labels.append(".".join([tag, *sorted(set(words))]))
+                self.depths.append(self.depths[container] + 1)
                 container = len(self.parents) - 1
         flush()
 
+    def path(self, container: int) -> str:
+        """The container's generalised path: tags with the words of their classes, the innermost ``PATH_LEVELS`` of them."""
+        out: list[str] = []
+        while container >= 0 and len(out) < PATH_LEVELS:
+            out.append(self.labels[container])
+            container = self.parents[container]
+        return "/".join(reversed(out))
+
     def scores(self) -> Counter:
         """Running text of each container: its own blocks in full, its children's by half; links count against it."""
         out: Counter = Counter()
@@ -166,15 +176,15 @@ class Page:
         scores = self.scores()
         if not scores:
             return None
-        best = min(scores, key=lambda c: (-scores[c], -self.paths[c].count("/"), c))
-        return self.paths[best], scores[best]
+        best = min(scores, key=lambda c: (-scores[c], -self.depths[c], c))
+        return self.path(best), scores[best]
 
     def text(self, path: str | None) -> str:
         """The blocks under the containers that ``path`` names; under the page's own best where it names none."""
-        chosen = [c for c, p in enumerate(self.paths) if p == path] if path else []
-        if not chosen and (own := self.vote()):
-            chosen = [c for c, p in enumerate(self.paths) if p == own[0]]
-        inside = set(chosen)
+        paths = [self.path(c) for c in range(len(self.labels))]
+        inside = {c for c, p in enumerate(paths) if p == path} if path else set()
+        if not inside and (own := self.vote()):
+            inside = {c for c, p in enumerate(paths) if p == own[0]}
         for c in range(len(self.parents)):
             if self.parents[c] in inside:
                 inside.add(c)
