@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .trees import closure
+
 Criterion = Callable[[float, float], float]
 
 
@@ -98,3 +100,15 @@ def as_tree(merges: DataFrame, n_nodes: int, keys: Sequence[str] = ()) -> DataFr
     """A dendrogram as ``keys, node, parent, distance, size`` (distance and size are the parent's merge)."""
     rows = merges.withColumn("parent", F.col("step") + n_nodes)
     return rows.select(*keys, F.explode(F.array("left", "right")).alias("node"), "parent", F.sqrt("distance").alias("distance"), "size")
+
+
+def centroids(merges: DataFrame, nodes: DataFrame, n_nodes: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, node, population, centroid`` of every cluster: the mean of the vectors below it.
+
+    ``nodes`` has keys, node (its number from 0) and vector.
+    """
+    keys = list(keys)
+    below = closure(as_tree(merges, n_nodes, keys).select(*keys, F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent")), keys)
+    parts = below.join(nodes.select(*keys, F.col("node").cast("long").alias("node"), F.posexplode("vector").alias("k", "v")), [*keys, "node"])
+    means = parts.groupBy(*keys, "anc", "k").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    return means.groupBy(*keys, F.col("anc").alias("node")).agg(F.max("n").alias("population"), F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("centroid"))

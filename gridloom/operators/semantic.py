@@ -79,3 +79,28 @@ def painted(labels: DataFrame, context: int) -> DataFrame:
 def extract_features(patches: DataFrame, pixels: str, model: Model, name: str = "features") -> DataFrame:
     """Patches with the model's feature vector of their pixels."""
     return predict(patches, pixels, model, name, "array<double>")
+
+
+def coarse_patches(patches: DataFrame, context: int, model: Model, channels: int = 3) -> DataFrame:
+    """Patches with ``labels``: one byte a pixel, the model's label of the window it lies in; written like any column.
+
+    ``patches`` has ``pixels`` (bytes, row by row) and ``size_x, size_y``. All windows of a patch are predicted at once.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema.fields if f.name != "pixels") + ", labels binary"
+    names = [c for c in patches.columns if c != "pixels"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for raw, w, h in zip(pdf["pixels"], pdf["size_x"], pdf["size_y"], strict=True):
+                image = np.frombuffer(raw, np.uint8).reshape(h, w, channels).astype(float)
+                rows, cols = h // context, w // context
+                cut = image[: rows * context, : cols * context].reshape(rows, context, cols, context, channels)
+                labels = np.zeros((h, w), np.uint8)
+                if rows and cols:
+                    found = np.asarray(model(cut.swapaxes(1, 2).reshape(rows * cols, -1))).reshape(rows, cols)
+                    labels[: rows * context, : cols * context] = np.kron(found, np.ones((context, context), np.uint8))
+                out.append(labels.tobytes())
+            yield pdf[names].assign(labels=out)
+
+    return patches.mapInPandas(run, schema)

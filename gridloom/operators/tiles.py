@@ -7,6 +7,7 @@ masks or pixel filters has no shuffle at all. Counts are ``trunc((side - patch)
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,11 @@ Pair = int | tuple[int, int]
 Filter = Callable[[DataFrame], DataFrame]
 
 
-def pair(value: Pair) -> tuple[int, int]:
-    """A number stands for both axes."""
+def pair(value: Pair | Mapping[str, int]) -> tuple[int, int]:
+    """A number stands for both axes; a mapping with x and y is taken too, with a warning."""
+    if isinstance(value, Mapping):
+        warnings.warn("give a pair instead of a mapping", DeprecationWarning, stacklevel=2)
+        return int(value["x"]), int(value["y"])
     return (int(value), int(value)) if isinstance(value, (int, float)) else (int(value[0]), int(value[1]))
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import colour, coords, paths
 from ..operators import clustering, datasets, graphs, masks, neighbours, predicates, regions, semantic, spanning, tiles, trees
 from ..sources.documents import tree_document
-from ..sources.patches import with_label, with_predictions
+from ..sources.patches import predicted, with_label, with_predictions
+from ..sources.slides import best_level
 from .bindings import event_cells, event_patches, part_slides, quality, table, turn_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +153,16 @@ def lab_lightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round(colour.lab(F.col("r"), F.col("g"), F.col("b"))[0], 4).alias("lightness"))
 
 
+@query("""
+WITH l AS (SELECT p_partkey, p_size, unnest(range(4)) AS level FROM part)
+SELECT 'part-' || p_partkey AS slide, CAST(max(level) AS INTEGER) AS level FROM l WHERE power(2, level) <= 1 + p_size / CAST(5 AS DOUBLE) GROUP BY p_partkey""")
+def slide_best_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last level whose downsample is not above a slide's own limit."""
+    limit = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("slide"), (1 + F.col("p_size") / 5).alias("limit"))
+    levels = part_slides(spark, sf_dir, 4).join(limit, "slide").withColumn("downsample", F.col("downsample") / F.col("limit"))
+    return best_level(levels, 1.0).select("slide", F.col("level").cast("int").alias("level"))
+
+
 # Masks.
 
 
@@ -205,6 +216,13 @@ def rel_write_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_predictions(old, new, "quality", ["doc_id"])
 
 
+@query("SELECT l_orderkey AS x, l_partkey AS y, CAST(l_suppkey AS INTEGER) AS interval, l_discount AS value, 'l_discount' AS author FROM lineitem WHERE l_linenumber = 1")
+def rel_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions of one level, with the column's name as their author."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("x"), F.col("l_partkey").alias("y"), F.col("l_suppkey").cast("int").alias("dx"), F.col("l_linenumber").alias("level"), "l_discount")
+    return predicted(rows, 1, "l_discount")
+
+
 @query("""
 WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS k FROM orders)
 SELECT c_custkey, o_orderkey FROM customer LEFT JOIN o ON o_custkey = c_custkey AND k = 1""")
@@ -374,6 +392,20 @@ def tree_weighted_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.weighted_distance(tree, _pairs(tree), weights, ["conv_id"])
 
 
+@query(
+    _UP
+    + """,
+ok AS (SELECT conv_id, turn AS node FROM conversations WHERE length(text) >= 60),
+x AS (SELECT t.conv_id, t.turn, t.parent FROM t JOIN ok a ON a.conv_id = t.conv_id AND a.node = t.turn JOIN ok b ON b.conv_id = t.conv_id AND b.node = t.parent),
+way AS (SELECT conv_id, node, node AS anc FROM ok UNION ALL SELECT way.conv_id, way.node, x.parent FROM way JOIN x ON x.conv_id = way.conv_id AND x.turn = way.anc)
+SELECT w.conv_id, w.anc AS node, w.node AS leaf FROM way w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.conv_id = w.conv_id AND x.parent = w.node)"""
+)
+def tree_flagged_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that are reached through flagged nodes only."""
+    flags = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("node"), (F.length("text") >= 60).alias("flag"))
+    return trees.leaves(turn_tree(spark, sf_dir), ["conv_id"], flags)
+
+
 @query(
     _UP
     + """,
@@ -424,6 +456,13 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.adjacency(_part_supplier(spark, sf_dir), symmetric=True).groupBy("i").agg(F.count("*").alias("degree"))
 
 
+@query("SELECT i, j, max(w) AS weight FROM (SELECT 'S' || l_suppkey AS i, 'P' || l_partkey AS j, l_quantity AS w FROM lineitem UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, l_quantity FROM lineitem) GROUP BY i, j")
+def graph_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric weights: the larger of both directions."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.col("l_quantity").alias("w"))
+    return graphs.weighted_adjacency(rows, "w")
+
+
 # Regions.
 
 _BINS = {0: (120.0, 180.0), 1: (180.0, 1000.0)}
@@ -499,6 +538,19 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.kneighbours_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5, 500.0).select("src", "dst", F.round("dist", 6).alias("dist")).distinct()
 
 
+@query("""
+WITH p AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey * 100 AS DOUBLE) AS y FROM supplier),
+d AS (SELECT a.id AS src, b.id AS dst, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) AS dist FROM p a JOIN p b ON a.id <> b.id),
+k AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS k FROM d WHERE dist <= 700 AND dist > 0),
+n AS (SELECT src, dst, round(dist, 6) AS dist FROM k WHERE k <= 3)
+SELECT src, dst, dist FROM n UNION SELECT dst, src, dist FROM n""")
+def plane_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour graph of points in the plane, by cells as wide as the distance limit."""
+    points = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100).alias("y"))
+    near = neighbours.near_points(points, "s_suppkey", "x", "y", 3, 700.0)
+    return near.select("src", "dst", F.round("dist", 6).alias("dist")).distinct()
+
+
 def _fps_sql(n: int) -> str:
     """One subquery a step: the point farthest from those before, ties to the least id."""
     square = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"

@@ -146,6 +146,17 @@ def test_merges_follow_the_least_criterion():
     assert np.isclose(got[-1][2], ((points[:6].mean(axis=0) - points[6:].mean(axis=0)) ** 2).sum())
 
 
+def test_cluster_centroids(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(6, 2))
+    nodes = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "node long, vector array<double>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    merges = clustering.agglomerate(nodes, edges)
+    assert [tuple(r)[1:3] for r in merges.orderBy("step").collect()] == [m[:2] for m in clustering.dendrogram(points, [(i, i + 1, float(((points[i] - points[i + 1]) ** 2).sum())) for i in range(5)])]
+    found = {r.node: (r.population, r.centroid) for r in clustering.centroids(merges, nodes, 6).collect()}
+    assert found[10][0] == 6 and np.allclose(found[10][1], points.mean(axis=0)) and np.allclose(found[2][1], points[2])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     points = rng.uniform(0, 100, size=(80, 2))

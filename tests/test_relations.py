@@ -160,6 +160,14 @@ def test_semantic(spark):
     assert {r.region for r in described.collect()} == {0, 1, 2, 3}
 
 
+def test_coarse_patches(spark):
+    image = np.zeros((5, 4, 3), np.uint8)
+    image[:2, 2:] = 9
+    rows = spark.createDataFrame([("a", 4, 5, bytearray(image.tobytes()))], "id string, size_x int, size_y int, pixels binary")
+    got = np.frombuffer(semantic.coarse_patches(rows, 2, lambda x: (x.sum(axis=1) > 0).astype(int)).first().labels, np.uint8).reshape(5, 4)
+    assert (got[:2] == [0, 0, 1, 1]).all() and (got[2:] == 0).all()
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -178,3 +186,5 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert tiles.pair(3) == (3, 3)
+    with pytest.warns(DeprecationWarning):
+        assert tiles.pair({"x": 1, "y": 2}) == (1, 2)
