@@ -40,6 +40,8 @@ DROPPED_WORDS = frozenset(
     "navigation breadcrumb breadcrumbs related recommended share sharing social popup modal overlay footer header masthead toolbar widget widgets pagination pager "
     "skip search form copyright".split()
 )
+#: Beginnings of such words.
+DROPPED_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sidenav", "sponsor", "subscri", "topnav")
 SAFE_FROM_WORDS = frozenset(("html", "body", "main", "article"))
 #: Levels of a container's path, from the container outward.
 PATH_LEVELS = 24
@@ -142,7 +144,7 @@ class Page:
                 words = [w for w in _WORDS.split(_CAMEL.sub("-", marks).lower()) if w] if marks != " " else []
                 if "hidden" in attributes or attributes.get("role", "").lower() in DROPPED_ROLES or attributes.get("aria-hidden") == "true":
                     dropped = True
-                elif tag not in SAFE_FROM_WORDS and not DROPPED_WORDS.isdisjoint(words):
+                elif tag not in SAFE_FROM_WORDS and (not DROPPED_WORDS.isdisjoint(words) or any(w.startswith(DROPPED_STEMS) for w in words)):
                     dropped = True
             if tag in DROPPED:
                 dropped = True

@@ -387,6 +387,8 @@ def test_language_odd_rows(spark):
         ("<article><h2>T</h2>text <b>bold</b>text<br>more<script>if(a<b){'</p>'}</script><pre>x\n y</pre></article><aside>no</aside>", "T\ntext boldtext more\nx y"),
         ("<main><p>a&nbsp;&#233;&lt;</p><!-- <p>no</p> --><form><p>no</p></form><p hidden>no</p></main><footer>no", "a é<\nno"[:4]),
         ("<article><p>caf&eacute;<p", "café"),
+        ("<body class='has-sidebar'><div id=main><section><p>one</p></section><section><p>two</p></section></div><ol class=commentlist><li>no</ol>", "one\ntwo"),
+        ("<div class=post><h1>T</h1><p>text text</p><p class='notice'>no</p><span class=ad>no</span><blockquote>q</blockquote><div class='share-links'>no</div></div><div role=banner>no</div>", "T\ntext text\nq"),
         ("<article><p title=it's>one</p><p data-x='a>b' class=x>two 'three'</p><a href='/y", "one\ntwo 'three'"),
         ("<article><ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><dl><dt>h<dd>i</dl>", "a\nb\nc\nd\ne\nf\ng\nh\ni"),
         ("<nav><ul><li>Home</ul></nav><article><p>" + "word " * 500 + "</article>", ("word " * 500).strip()),
