@@ -269,7 +269,8 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
     grouped = tops.join(named, "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("top"))
     names = grouped.join(least, "root").select(F.col("node").alias("class"), "top")
-    final = nodes.select("class", "least").join(names, "class", "left").select("class", F.coalesce("top", "least").alias("component_id"))
+    # Written, so that the last join has two plain sides and Spark can split the classes with very many copies.
+    final = written(nodes.select("class", "least").join(names, "class", "left").select("class", F.coalesce("top", "least").alias("component_id")), "dup-final")
     out = members.join(final, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "n_shingles", "component_id", "kept", "text_key")
