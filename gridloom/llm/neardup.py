@@ -3,13 +3,15 @@
 Texts with the same words become one class first, so copies cost one row from there on. Every class gets a signature of
 ``VALUES`` minima, one byte each. The forest has ``TREES`` orders of the classes: order ``t`` sorts by the signature
 rotated by ``t * VALUES / TREES`` places. Neighbours in an order that share a prefix are candidates: at least
-``LEAST_DEPTH`` values, and as many more as the region is dense, since only the ``REACH`` nearest on either side count.
-Orders are sorted by range over the cluster, so a dense region is spread over tasks; the rows at the ends of the ranges
-are linked in a second pass.
+``LEAST_DEPTH`` values. Of a longer run only the ``REACH`` nearest on either side are taken at first. Orders are sorted by
+range over the cluster, so a dense region is spread over tasks; the rows at the ends of the ranges are linked in a
+second pass.
 
 Candidates whose signatures agree far below the threshold go. The others are confirmed on full shingle sets, in rounds:
-each class with its most similar smaller partners first, and in the last round all pairs that still lie between
-components; at last each class that missed a component is held against the component's hubs. Components come from hooking and pointer jumping on written tables.
+each class with its most similar smaller partners first, then all pairs that still lie between components, then each
+class that missed a component against the component's hubs. At last the runs longer than ``REACH`` covers that still hold
+several components are compared in full, block by block, so that no pair with a common prefix goes unseen. Components
+come from hooking and pointer jumping on written tables.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case; shingles are distinct runs of ``size`` words,
 the whole sequence if there are fewer.
@@ -41,6 +43,8 @@ SLACK = 0.2
 FIRST_PARTNERS = 3
 #: Rows of an order that a worker compares at a time.
 WINDOW_ROWS = 8192
+#: Classes of a block, about, where long runs are compared in full.
+BLOCK = 256
 
 _LOWER = lower_table()
 _WORD = np.ones(256, bool)
@@ -231,14 +235,86 @@ def hub_pairs(missed: DataFrame, pairs: DataFrame, nodes: DataFrame, tops: DataF
     return found.join(pairs, ["a", "b"], "left_anti")
 
 
+def long_runs(nodes: DataFrame) -> DataFrame:
+    """``tree, prefix, class`` of the runs in which some classes lie farther apart than ``REACH``."""
+    prefixes = F.array(*[F.substring("sig", t * (VALUES // TREES) + 1, LEAST_DEPTH) for t in range(TREES)])
+    places = nodes.select("class", F.posexplode(prefixes).alias("tree", "prefix"))
+    long = places.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > REACH + 1).select("tree", "prefix")
+    return written(places.join(long, ["tree", "prefix"]), "dup-runs")
+
+
+def run_links(runs: DataFrame, nodes: DataFrame, tops: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Confirmed pairs ``a, b`` that join all components of a long run which any of its pairs joins.
+
+    The classes of a run's largest component and those of all others are dealt to blocks by hash. Each block of the others
+    meets every block, so pairs inside the largest component cost nothing; runs of one component are left out.
+    """
+    up, down = threshold
+    least = (up / down - SLACK) * VALUES
+    keys = ["tree", "prefix"]
+    placed = written(runs.join(tops.select(F.col("node").alias("class"), "root"), "class", "left").select(*keys, "class", F.coalesce("root", "class").alias("root")), "dup-placed")
+    parts = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    mixed = mixed.select(*keys, F.col("most.root").alias("top"), F.ceil(F.col("most.n") / BLOCK).alias("inner"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("outer"))
+    dealt = placed.join(mixed, keys)
+    part = F.xxhash64("class")
+    own = F.when(F.col("root") == F.col("top"), F.col("outer") + F.pmod(part, F.col("inner"))).otherwise(F.pmod(part, F.col("outer")))
+    partners = F.when(F.col("root") == F.col("top"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    dealt = written(dealt.select(*keys, "class", "root", own.alias("own"), partners.alias("partners")), "dup-dealt")
+
+    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, _ = shingles(batch.column(2), size)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "sig", "set"])
+
+    wanted = nodes.join(dealt.select("class").distinct(), "class", "left_semi")
+    full = written(map_batches(wanted.join(sets, "class").select("class", "sig", "text"), shingled, "class binary, sig binary, set binary"), "dup-sets")
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partners") - 1)).alias("other"))
+    met = met.select(*keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root").join(full, "class")
+
+    def run(rows: pa.Table) -> pa.Table:
+        tree, x, y = rows["tree"][0].as_py(), rows["x"][0].as_py(), rows["y"][0].as_py()
+        names, own = rows["class"].to_pylist(), rows["own"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
+        earlier = sig.reshape(len(sig), TREES, -1)[:, :tree, :LEAST_DEPTH]
+        roots = np.unique(np.array([r.hex() for r in rows["root"].to_pylist()]), return_inverse=True)[1]
+        own_sets = [np.frombuffer(s, np.uint64) for s in rows["set"].to_pylist()]
+        sizes = np.array([len(s) for s in own_sets])
+        values, flat = np.unique(np.concatenate(own_sets), return_inverse=True)
+        ids = np.split(flat, np.cumsum(sizes)[:-1])
+        mark = np.zeros(len(values), np.int64)
+        one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        first, second = [], []
+        for i in one:
+            at = two[two > i] if x == y else two
+            at = at[roots[at] != roots[i]]
+            at = at[down * np.minimum(sizes[at], sizes[i]) >= up * np.maximum(sizes[at], sizes[i])]
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+            at = at[~(earlier[at] == earlier[i]).all(axis=2).any(axis=1)]  # an earlier order has these in one run
+            if not len(at):
+                continue
+            mark[ids[i]] = 1
+            common = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
+            mark[ids[i]] = 0
+            for j in at[down * common >= up * (sizes[at] + sizes[i] - common)]:
+                if roots[j] != roots[i]:
+                    first.append(names[i])
+                    second.append(names[j])
+                    roots[roots == roots[j]] = roots[i]
+        return pa.table([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["a", "b"])
+
+    return met.groupBy(*keys, "x", "y").applyInArrow(run, "a binary, b binary")
+
+
 def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept, text_key`` for every row; ``text_key`` is the hash of its text."""
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     members, nodes = classes(docs, size)
     pairs = written(candidates(nodes, threshold[0] / threshold[1]), "dup-candidates")
 
-    # Texts of the classes that occur in a pair, one row each: a Bloom filter keeps all others in their workers.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(nodes.select("class", "least"), "class")
+    runs = long_runs(nodes)
+
+    # Texts of the classes that occur in a pair or a long run, one row each: a Bloom filter keeps all others in their workers.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(runs.select("class")).distinct().join(nodes.select("class", "least"), "class")
     wanted = wanted.select(F.col("class").alias("class_"), F.col("least").alias("least_"))
     some = members.join(wanted, (F.col("class") == F.col("class_")) & F.col("id").eqNullSafe(F.col("least_")), "left_semi")
     some = written(some.groupBy("class").agg(F.max(F.struct("id", "text_key")).alias("one")).select("class", F.col("one.id").alias("id_"), F.col("one.text_key").alias("key_")), "dup-wanted")
@@ -265,6 +341,10 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
     if not more.isEmpty():
         roots = stars(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    last = written(run_links(runs, nodes, tops, sets, size, threshold), "dup-links")
+    if not last.isEmpty():
+        roots = stars(last.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = nodes.select(F.col("class").alias("node"), "least")
     grouped = tops.join(named, "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("top"))

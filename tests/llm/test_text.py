@@ -237,6 +237,25 @@ def test_near_duplicates(spark, size):
     assert len(wrong) <= len(rows) // 100
 
 
+def test_near_duplicates_of_many_centres(spark):
+    """Chained texts, each with variants that are near it only: no order shows a variant its centre for certain."""
+    rng = random.Random(11)
+
+    def varied(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"v{rng.randint(0, 10**9)}"
+        return out
+
+    centres = [[f"w{k}" for k in range(300)]]
+    for _ in range(5):
+        centres.append(varied(centres[-1], 12))
+    rows = [(k, " ".join(c)) for k, c in enumerate(centres)]
+    rows += [(100 + k, " ".join(varied(centres[k % 6], 16))) for k in range(900)]
+    got = neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert [r.doc_id for r in got if r.component_id != 0] == []
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "a b c d e f g h i j k"), (10, "A B C D E F G H I J K"), (11, "a b c d e f g h i j x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
