@@ -43,7 +43,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"://[^\s/?#@:]+(?::[^\s/?#@]*)?@[^\s/?#@]+[^\s]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _NAMED_NUMBER = re.compile(r"(?:[ ]?(?:no\.?|nr\.?|number|#))?[ ]?[:=#]?[ ]?([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"""[ ]?[:=][ ]?["']?([A-Za-z0-9_+/=.-]{8,128})""")
+_ASSIGNED = re.compile(r"""[ ]?[:=][ ]?["']?(?=[A-Za-z0-9_+/=.-]{8})""")
+_VALUE = re.compile(r"[A-Za-z0-9_+/=.-]+")
 _HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [^\W\d_][\w.'-]*){1,4}$")
 _HOUSE_AFTER = re.compile(r" [0-9]{1,4}[a-z]?(?![0-9A-Za-z])")
 
@@ -165,7 +166,16 @@ def _accounts(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]
 
 
 def _secrets(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [m.span(1) for _, end in anchors if (m := _ASSIGNED.match(text, end)) and any(c in _DIGITS for c in m[1])]
+    out, stop, digit = [], 0, -1
+    for _, end in anchors:
+        if not (m := _ASSIGNED.match(text, end)):
+            continue
+        if m.end() >= stop:  # cues inside a value share its end and its last digit
+            stop = _VALUE.match(text, m.end()).end()
+            digit = max(text.rfind(d, m.end(), stop) for d in _DIGITS)
+        if digit >= m.end():
+            out.append((m.end(), stop))
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, str]]:

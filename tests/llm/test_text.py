@@ -77,6 +77,12 @@ def test_added_spans_and_masking():
     assert pii.masked("a secret plan; the account of 1999; Main Street") == "a secret plan; the account of 1999; Main Street"
 
 
+def test_long_secrets_are_masked_whole():
+    for value in ("eyJh" + "aB3_" * 74, "x" * 200 + "7", "k9" * 50000):
+        assert pii.masked(f"token: {value} and more") == "token: [SECRET] and more"
+    pii.find("token=" * 20000)  # takes time in proportion to the text
+
+
 def test_pii_query_and_odd_rows(spark):
     rows = {r.doc_id: r.text for r in sample(spark).collect()}
     for r in queries.op1_pii(spark, SF).collect():
