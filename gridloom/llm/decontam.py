@@ -4,7 +4,8 @@ A seed hashes the words under a fixed mask and ignores those between, so a passa
 were exchanged. Seeds of all benchmark items and all documents are joined by hash; around each hit the document and
 the item are compared word by word on the hit's diagonal, and the best segment (one point a match, two off for a
 mismatch) counts as an overlap if ``IDENTITY`` of its words match and at least ``LEAST_MATCHES`` do, or that share of a
-shorter item. Items of fewer words than the shortest mask are sought whole; those under ``SHORTEST`` words are not.
+shorter item. Where it does not, the longest stretch of the diagonal with that share of matches is asked, which has
+enough matches if any such stretch has. Items of fewer words than the shortest mask are sought whole; those under ``SHORTEST`` words are not.
 
 Document seeds are first held against a Bloom filter of the benchmark's seeds. The filter has one fixed size, so what
 is broadcast does not grow. Only runs of hits leave the workers, each with the words around it.
@@ -145,7 +146,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         keep, out = [], []
         columns = [batch.column(i).to_pylist() for i in range(3, 7)]
         for i, (begin, around, words, shift) in enumerate(zip(*columns, strict=True)):
-            best = segment(np.frombuffer(around, np.uint64), np.frombuffer(words, np.uint64), shift - begin)
+            diagonal = np.frombuffer(around, np.uint64), np.frombuffer(words, np.uint64), shift - begin
+            best = segment(*diagonal)
+            if best and not accepted(best[2], best[3], len(words) // 8):
+                best = stretch(*diagonal)
             if best and accepted(best[2], best[3], len(words) // 8):
                 keep.append(i)
                 out.append((best[0] + begin, *best[1:]))
@@ -175,6 +179,22 @@ def segment(around: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int
     return low + start + shift, low + start, end - start, int(same[start:end].sum())
 
 
+def stretch(around: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
+    """Longest stretch of a diagonal of which ``IDENTITY`` matches, without mismatches at its ends, as ``segment`` gives it."""
+    low, high = max(0, -shift), min(len(words), len(around) - shift)
+    if high <= low:
+        return None
+    same = around[low + shift : high + shift] == words[low:high]
+    score = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))  # not falling where four of five words match
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score)  # the first place with no higher score
+    end = int((np.arange(len(score)) - begin).argmax())
+    hits = np.flatnonzero(same[begin[end] : end]) + begin[end]
+    if not len(hits):
+        return None
+    start, end = int(hits[0]), int(hits[-1]) + 1
+    return low + start + shift, low + start, end - start, len(hits)
+
+
 def accepted(n: int, matches: int, item_words: int) -> bool:
     return matches >= IDENTITY * n and matches >= min(LEAST_MATCHES, IDENTITY * item_words)
 

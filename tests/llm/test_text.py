@@ -360,6 +360,29 @@ def test_planted_passages_are_found(spark):
     assert left.columns == frame.columns and not {r.doc_id for r in left.collect()} & ids
 
 
+def test_no_weaker_stretch_hides_a_passage(spark):
+    rng, lost = random.Random(4), 0
+    for _ in range(3000):
+        n = rng.randint(1, 80)
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        same = np.array([rng.random() < rng.choice((0.6, 0.7, 0.8)) for _ in range(n)])
+        sums = np.concatenate(([0], np.cumsum(same)))
+        there = any(decontam.accepted(b - a, int(sums[b] - sums[a]), n) for a in range(n) for b in range(a + 1, n + 1))
+        diagonal = np.where(same, item, np.uint64(0)), item, 0
+        found = [x for x in (decontam.segment(*diagonal), decontam.stretch(*diagonal)) if x and decontam.accepted(x[2], x[3], n)]
+        assert bool(found) == there
+        lost += there and not decontam.accepted(*decontam.segment(*diagonal)[2:], n)
+    assert lost
+    item = [f"w{k}" for k in range(60)]
+    marks = "1" * 14 + "0110111" * 6 + "0000"
+    passage = [w if m == "1" else f"x{k}" for k, (w, m) in enumerate(zip(item, marks, strict=True))]
+    docs = spark.createDataFrame([(1, " ".join(["a", "b", *passage, "c"]))], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    (row,) = decontam.overlaps(docs, bench).collect()
+    assert row.n_matches >= 0.8 * row.n_words and row.n_matches >= decontam.LEAST_MATCHES
+    assert decontam.clean(docs, decontam.overlaps(docs, bench)).count() == 0
+
+
 def test_decontamination_query_and_odd_rows(spark):
     low = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     items = [(r.item_id, low(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
