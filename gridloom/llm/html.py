@@ -1,7 +1,8 @@
 r"""Main text of web pages by consensus paths of each host.
 
 Every page is parsed once and its containers are scored by the running text in them, links counting against it. The
-best container's generalised tag-class path is the page's vote; Spark counts the votes of each host and the path with
+best container, or the article or main around it, or the lowest one around it with nearly all running text, gives its
+generalised tag-class path as the page's vote; Spark counts the votes of each host and the path with
 most pages wins. Every page is then extracted anew from the containers that the host's winning path names; a page
 that has none uses its own best path.
 
@@ -43,6 +44,8 @@ DROPPED_WORDS = frozenset(
 #: Beginnings of such words.
 DROPPED_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sidenav", "sponsor", "subscri", "topnav")
 SAFE_FROM_WORDS = frozenset(("html", "body", "main", "article"))
+#: Share of a page's running text that the extracted container has where no article or main marks it.
+NEARLY_ALL = 0.9
 #: Levels of a container's path, from the container outward.
 PATH_LEVELS = 24
 #: An open element that the start of another ends.
@@ -179,7 +182,22 @@ class Page:
         if not scores:
             return None
         best = min(scores, key=lambda c: (-scores[c], -self.depths[c], c))
-        return self.path(best), scores[best]
+        return self.path(self._lifted(best)), scores[best]
+
+    def _lifted(self, best: int) -> int:
+        """The article or main next around a container; where there is none, the lowest one around it with nearly all running text."""
+        around = [best]
+        while self.parents[around[-1]] >= 0:
+            around.append(self.parents[around[-1]])
+        for c in around:
+            if self.labels[c].partition(".")[0] in ("article", "main"):
+                return c
+        worth = [0] * len(self.parents)
+        for container, text, links in self.blocks:
+            worth[container] += max(0, len(text) - 2 * links)
+        for c in range(len(self.parents) - 1, 0, -1):
+            worth[self.parents[c]] += worth[c]
+        return next(c for c in around if worth[c] >= NEARLY_ALL * worth[0])
 
     def text(self, path: str | None) -> str:
         """The blocks under the containers that ``path`` names; under the page's own best where it names none."""

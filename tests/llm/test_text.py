@@ -446,6 +446,15 @@ def test_page_text(source, want):
     assert html.Page(source).text(None) == want
 
 
+def test_parts_beside_the_longest_stay():
+    for tag in ("article", "main"):
+        page = f"<body><{tag}><h1>T</h1><div class=lead><p>{'l' * 100}</p></div><div class=body><p>{'b' * 1000}</p></div></{tag}><div class=extra><p>no</div>"
+        assert html.Page(page).text(None) == f"T\n{'l' * 100}\n{'b' * 1000}"
+        assert html.Page(page).vote()[0] == f"body/{tag}"
+    page = "<body><div class=page><div class=one><p>{}</p></div><div class=two><p>{}</p></div></div>"
+    assert html.Page(page.format("a" * 500, "b" * 400)).text(None) == f"{'a' * 500}\n{'b' * 400}"
+
+
 def test_pages_by_host(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.op8_main_text(spark, SF).collect()}
