@@ -43,6 +43,8 @@ DROPPED_WORDS = frozenset(
 )
 #: Beginnings of such words.
 DROPPED_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sidenav", "sponsor", "subscri", "topnav")
+#: Words that make a compound name a state or a topic of the element ("has-sidebar", "comments-open", "tag-search").
+STATE_FIRST, STATE_LAST = frozenset("has no not with without category tag tagged".split()), frozenset("open closed enabled disabled".split())
 SAFE_FROM_WORDS = frozenset(("html", "body", "main", "article"))
 #: Share of a page's running text that the extracted container has where no article or main marks it.
 NEARLY_ALL = 0.9
@@ -59,6 +61,19 @@ _WORDS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _boilerplate(marks: str) -> tuple[bool, bool]:
+    """Whether a class or id of ``marks`` is boilerplate as a whole, and whether a part of a compound one is."""
+    whole = part = False
+    for token in marks.split():
+        words = [w for w in _WORDS.split(_CAMEL.sub("-", token).lower()) if w]
+        if len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+            continue
+        found = [w in DROPPED_WORDS or w.startswith(DROPPED_STEMS) for w in words]
+        whole |= bool(found) and all(found)
+        part |= any(found)
+    return whole, part
+
+
 class Page:
     """Blocks of a page: each has its container, its text and how much of that stands in links."""
 
@@ -67,11 +82,15 @@ class Page:
         self.labels: list[str] = ["body"]
         self.depths: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.doubts: list[int] = [-1]  # the parent of each element that a part of its class speaks against; 0 is the page
+        self.holders: set[int] = set()  # those that stand directly round an article or main
+        self._doubts_of: list[int] = []  # for each block
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, dropped, in a link
-        container, dropped, linked = 0, False, False
+        stack: list[tuple[str, int, bool, bool, int]] = []  # tag, container, dropped, in a link, doubt
+        container, dropped, linked, doubt = 0, False, False, 0
         buffer: list[str] = []
         links, at, end = 0, 0, len(source)
 
@@ -80,16 +99,17 @@ class Page:
             if buffer:
                 if text := " ".join("".join(buffer).split()):
                     self.blocks.append((container, text, links))
+                    self._doubts_of.append(doubt)
                 buffer.clear()
                 links = 0
 
         def close(upto: int) -> None:
-            nonlocal container, dropped, linked
+            nonlocal container, dropped, linked, doubt
             for tag, *_ in stack[upto:]:
                 if tag not in INLINE:
                     flush()
                     break
-            _, container, dropped, linked = stack[upto]
+            _, container, dropped, linked, doubt = stack[upto]
             del stack[upto:]
 
         while at < end:
@@ -137,20 +157,29 @@ class Page:
                 continue
             if tag in ("html", "body"):
                 continue
-            stack.append((tag, container, dropped, linked))
+            stack.append((tag, container, dropped, linked, doubt))
             if tag == "a":
                 linked = True
             words: list[str] = []
+            whole = part = False
             if rest and "=" in rest or rest and "hidden" in rest:
                 attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
                 marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
                 words = [w for w in _WORDS.split(_CAMEL.sub("-", marks).lower()) if w] if marks != " " else []
                 if "hidden" in attributes or attributes.get("role", "").lower() in DROPPED_ROLES or attributes.get("aria-hidden") == "true":
                     dropped = True
-                elif tag not in SAFE_FROM_WORDS and (not DROPPED_WORDS.isdisjoint(words) or any(w.startswith(DROPPED_STEMS) for w in words)):
-                    dropped = True
-            if tag in DROPPED:
+                elif words:
+                    whole, part = _boilerplate(marks)
+            if tag in DROPPED or whole and tag not in SAFE_FROM_WORDS:
                 dropped = True
+            if part and not dropped and tag not in SAFE_FROM_WORDS:
+                if tag in INLINE:
+                    dropped = True
+                else:
+                    self.doubts.append(doubt)
+                    doubt = len(self.doubts) - 1
+            if tag in ("article", "main") and not dropped and not part:
+                self.holders.add(doubt)
             if tag in CONTAINERS and not dropped:
                 self.parents.append(container)
                 self.labels.append(".".join([tag, *sorted(set(words))]))
@@ -158,6 +187,27 @@ class Page:
                 container = len(self.parents) - 1
         flush()
 
+    def _settle(self) -> None:
+        """Drop the blocks of the doubtful elements, but for those that hold the article or main, or most running text."""
+        if len(self.doubts) == 1:
+            return
+        worth = [0] * len(self.doubts)
+        for (_, text, links), d in zip(self.blocks, self._doubts_of, strict=True):
+            worth[d] += max(0, len(text) - 2 * links)
+        depths = [0] * len(self.doubts)
+        for d in range(1, len(self.doubts)):
+            depths[d] = depths[self.doubts[d]] + 1
+        for d in range(len(self.doubts) - 1, 0, -1):
+            worth[self.doubts[d]] += worth[d]
+        kept = {0}
+        if self.holders:  # the outermost; of equals the one with most text
+            d = min(self.holders, key=lambda d: (depths[d], -worth[d], d))
+            while d > 0:
+                kept.add(d)
+                d = self.doubts[d]
+        kept |= {d for d in range(1, len(self.doubts)) if 2 * worth[d] > worth[0]}
+        self.blocks = [b for b, d in zip(self.blocks, self._doubts_of, strict=True) if d in kept]
+
     def path(self, container: int) -> str:
         """The container's generalised path: tags with the words of their classes, the innermost ``PATH_LEVELS`` of them."""
         out: list[str] = []

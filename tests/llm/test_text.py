@@ -455,6 +455,14 @@ def test_parts_beside_the_longest_stay():
     assert html.Page(page.format("a" * 500, "b" * 400)).text(None) == f"{'a' * 500}\n{'b' * 400}"
 
 
+@pytest.mark.parametrize("attributes", ["class='content-sidebar-wrap'", "id=page class='has-sidebar'", "class='post hentry category-social tag-search comments-open'"])
+def test_wrappers_with_boilerplate_words_stay(attributes):
+    side = "<div class=comments-area><article><p>no</p></article></div><div class=sidebar-left><p>no</p></div><div class=cookie-notice>no</div>"
+    assert html.Page(f"<body><div {attributes}><article><p>yes</p></article>{side}</div>").text(None) == "yes"
+    assert html.Page(f"<body><div {attributes}><div><p>{'yes ' * 20}</p></div>{side.replace('article', 'b')}</div>").text(None) == ("yes " * 20).strip()
+    assert html.Page("<article><p>one</p><section class='article related-open'><p>two</p></section><div class=share-links>no</div></article>").text(None) == "one\ntwo"
+
+
 def test_pages_by_host(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.op8_main_text(spark, SF).collect()}
