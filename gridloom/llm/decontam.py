@@ -5,7 +5,8 @@ were exchanged. Seeds of all benchmark items and all documents are joined by has
 the item are compared word by word on the hit's diagonal, and the best segment (one point a match, two off for a
 mismatch) counts as an overlap if ``IDENTITY`` of its words match and at least ``LEAST_MATCHES`` do, or that share of a
 shorter item. Where it does not, the longest stretch of the diagonal with that share of matches is asked, which has
-enough matches if any such stretch has. Items of fewer words than the shortest mask are sought whole; those under ``SHORTEST`` words are not.
+enough matches if any such stretch has. Items of fewer than ``FULL_SEARCH`` words are also sought by runs of words so short that any accepted overlap has one
+unchanged; those under ``SHORTEST`` words are not sought.
 
 Document seeds are first held against a Bloom filter of the benchmark's seeds. The filter has one fixed size, so what
 is broadcast does not grow. Only runs of hits leave the workers, each with the words around it.
@@ -29,6 +30,8 @@ from .common import Bloom, joined_bytes, lower_table, map_batches, mix64, word_h
 #: Masks (fixed): 1 is a word that counts, 0 one that is ignored.
 MASKS = ("110110101", "1110010011", "101001100101", "11010001011", "1100101010001")
 SHORTEST, IDENTITY, LEAST_MATCHES = 5, 0.8, 13
+#: Items of fewer words are searched for every accepted overlap.
+FULL_SEARCH = 15
 #: Hits closer than this many words make one run; a run carries this many words on either side.
 GAP, REACH = 16, 64
 
@@ -58,7 +61,7 @@ def _seed(hashes: np.ndarray, offsets: np.ndarray, span: int, salt: int) -> np.n
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(places, seed hashes, span) for each mask, and for whole items of the ``lengths`` too short for a mask."""
+    """(places, seed hashes, span) for each mask, and for all runs of words of the ``lengths``."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = []
     plan = [(m, s, i) for i, (m, s) in enumerate(zip(_MASKS, _SPANS, strict=True))] + [(np.arange(n), n, 100 + n) for n in lengths]
@@ -69,6 +72,13 @@ def seeds(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> li
     return out
 
 
+def part(item_words: int) -> int:
+    """Words of the longest run that every accepted overlap of a short item has unchanged: with ``k`` words exchanged or
+    missing, one of ``k + 1`` parts of the item is whole."""
+    missing = next(k for k in range(item_words, -1, -1) if accepted(item_words - k, item_words - k, item_words))
+    return item_words // (missing + 1)
+
+
 def item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The items' words ``item, words`` and seeds ``hash, item, at``, both written."""
     kind = dict(benchmark.dtypes)[item_col]
@@ -82,7 +92,7 @@ def item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Dat
         item, at, hashes = [], [], []
         for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.frombuffer(own, np.uint64)
-            short = (len(own),) if SHORTEST <= len(own) < min(_SPANS) else ()
+            short = (part(len(own)),) if SHORTEST <= len(own) < FULL_SEARCH else ()
             for places, found, _ in seeds(own, np.array([0, len(own)]), short):
                 item += [name] * len(places)
                 at.append(places)
@@ -99,7 +109,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items, item_seeds = item_tables(benchmark, item_col, item_text_col)
     known = documents.sparkSession.sparkContext.broadcast(Bloom.of(item_seeds, "hash"))  # of fixed size
     size = F.expr("octet_length(words) div 8")
-    short = tuple(sorted(int(r[0]) for r in items.where((size >= SHORTEST) & (size < min(_SPANS))).select(size).distinct().collect()))  # at most as many as a mask is long
+    sizes = items.where((size >= SHORTEST) & (size < FULL_SEARCH)).select(size).distinct().collect()  # fewer than FULL_SEARCH
+    short = tuple(sorted({part(int(r[0])) for r in sizes}))
     kind = dict(documents.dtypes)[id_col]
 
     def hits(batch: pa.RecordBatch) -> pa.RecordBatch | None:

@@ -383,6 +383,21 @@ def test_no_weaker_stretch_hides_a_passage(spark):
     assert decontam.clean(docs, decontam.overlaps(docs, bench)).count() == 0
 
 
+def test_short_items_are_found_whatever_word_is_exchanged(spark):
+    from itertools import combinations
+
+    items, docs = [], []
+    for n in range(decontam.SHORTEST, decontam.FULL_SEARCH):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((str(n), " ".join(words)))
+        most = max(k for k in range(n) if n - k >= decontam.IDENTITY * n)
+        for out in combinations(range(n), most):
+            docs.append((len(docs), str(n), " ".join(["a", "b", *("x" if k in out else w for k, w in enumerate(words)), "c"])))
+        docs.append((len(docs), None, " ".join(["a", *("x" if k <= most else w for k, w in enumerate(words)), "c"])))
+    found = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, item string, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, i) for d, i, _ in docs if i}
+
+
 def test_decontamination_query_and_odd_rows(spark):
     low = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     items = [(r.item_id, low(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
