@@ -1,7 +1,6 @@
 """URL filters from a path-template tree, in DataFrame functions only.
 
-Per host, path segments that carry numbers or long identifiers become wildcards, and so do rare segments of a parent
-with very many children. Branches of one parent whose labelled block rate does not differ from the parent's (a
+Per host, path segments that carry numbers or long identifiers become wildcards. Branches of one parent whose labelled block rate does not differ from the parent's (a
 two-sided test) merge into one wildcard branch. A template's purity is the share of blocked rows among its labelled
 rows, smoothed towards its parent's; templates above ``REJECT_AT`` are rejected. Labels come from rules, which also
 decide the rows that they fit.
@@ -18,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Levels of the tree below the host; deeper segments stand under the last level's node.
+#: Levels that the SQL has; the tree here has as many as the deepest path.
 DEPTH = 3
-#: A parent with more children than this turns children of fewer rows than ``CHILD_ROWS`` into a wildcard.
+#: In the SQL, a parent with more children than this turns children of fewer rows than ``CHILD_ROWS`` into a wildcard.
 FANOUT, CHILD_ROWS = 40, 8
 #: Weight of the parent's rate, deviations that tell a branch from its parent, and the purity that rejects.
 SMOOTHING, DEVIATIONS, REJECT_AT = 4.0, 2.0, 0.5
@@ -63,25 +62,19 @@ def general(segment: Column) -> Column:
 
 
 def _level(nodes: DataFrame, k: int) -> DataFrame:
-    """One level down: ``nodes`` (key, parent purity, leaf columns) get the branch at segment ``k`` and its purity."""
-    seg, sums = f"g{k}", [F.sum(c).alias(c) for c in ("n", "allowed", "blocked")]
-    children = nodes.groupBy("key", seg).agg(*sums, F.first("purity").alias("above"))
-    fans = children.groupBy("key").agg(F.count("*").alias("fan"))
-    children = written(children.join(fans, "key"), "url-children")
-    wild = (F.col("fan") > FANOUT) & (F.col("n") < CHILD_ROWS)
+    """One level down: ``nodes`` (key, parent purity, leaf columns), all with a segment ``k``, get its branch and its purity."""
+    nodes, sums = nodes.withColumn("seg", F.get("parts", F.lit(k))), [F.sum(c).alias(c) for c in ("n", "allowed", "blocked")]
+    children = written(nodes.groupBy("key", "seg").agg(*sums, F.first("purity").alias("above")), "url-children")
     labelled = F.col("allowed") + F.col("blocked")
     own = (F.col("blocked") + SMOOTHING * F.col("above")) / (labelled + SMOOTHING)
     noise = F.sqrt(F.col("above") * (1 - F.col("above")) / (labelled + SMOOTHING))
     alike = F.abs(own - F.col("above")) <= DEVIATIONS * noise
-    children = children.withColumn("branch", F.when(F.col(seg).isNull(), F.lit("")).when(wild | alike, F.lit("*")).otherwise(F.col(seg)))
+    children = children.withColumn("branch", F.when(alike, F.lit("*")).otherwise(F.col("seg")))
     branches = children.groupBy("key", "branch").agg(*sums, F.first("above").alias("above"))
-    purity = (F.col("blocked") + SMOOTHING * F.col("above")) / (F.col("allowed") + F.col("blocked") + SMOOTHING)
-    branches = branches.select("key", "branch", purity.alias("next"))
-    found = children.select("key", seg, "branch").join(branches, ["key", "branch"])
-    found = found.select(F.col("key").alias("k_"), F.col(seg).alias("s_"), "branch", "next")
-    joined = nodes.join(found, (F.col("key") == F.col("k_")) & F.col(seg).eqNullSafe(F.col("s_")))
-    keep = [c for c in nodes.columns if c not in ("key", "purity")]
-    return joined.select(*keep, F.when(F.col("branch") == "", F.col("key")).otherwise(F.concat_ws("/", "key", "branch")).alias("key"), F.when(F.col("branch") == "", F.col("purity")).otherwise(F.col("next")).alias("purity"))
+    branches = branches.select("key", "branch", own.alias("next"))
+    found = children.select("key", "seg", "branch").join(branches, ["key", "branch"])
+    keep = [c for c in nodes.columns if c not in ("key", "purity", "seg")]
+    return nodes.join(found, ["key", "seg"]).select(*keep, F.concat_ws("/", "key", "branch").alias("key"), F.col("next").alias("purity"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -91,20 +84,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), parts.alias("parts"))
-    segments = [F.coalesce(general(F.get("parts", F.lit(k))), F.lit("")).alias(f"g{k}") for k in range(DEPTH)]
-    rows = rows.select(id_col, "host", "path", "rule", "by_rule", *segments)
-    keys = ["host", *(f"g{k}" for k in range(DEPTH))]
+    rows = rows.withColumn("parts", F.transform("parts", general))
+    keys = ["host", "parts"]
     counts = [F.count("*").alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")]
     leaves = written(rows.groupBy(*keys).agg(*counts), "url-leaves")
     total = leaves.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).select(F.coalesce((F.col("b") + 1) / (F.col("a") + F.col("b") + 2), F.lit(0.5)).alias("overall"))
     hosts = leaves.groupBy("host").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
     hosts = hosts.join(F.broadcast(total)).select("host", ((F.col("b") + SMOOTHING * F.col("overall")) / (F.col("a") + F.col("b") + SMOOTHING)).alias("purity"))  # one row is broadcast
     nodes = leaves.join(hosts, "host").withColumn("key", F.col("host"))
-    for k in range(DEPTH):
-        nodes = nodes.withColumn(f"g{k}", F.when(F.col(f"g{k}") != "", F.col(f"g{k}")))
-    for k in range(DEPTH):  # each level is read several times by the next, so it is written
-        nodes = _level(written(nodes, "url-nodes"), k)
-    back = [F.coalesce(f"g{k}", F.lit("")).alias(f"g{k}") for k in range(DEPTH)]
-    found = written(nodes.select("host", *back, F.col("key").alias("template"), "purity"), "url-templates")
+    ended = []
+    for k in range(leaves.agg(F.max(F.size("parts"))).first()[0] or 0):  # each level is read several times by the next, so it is written
+        nodes = written(nodes, "url-nodes")
+        ended.append(nodes.where(F.size("parts") <= k))
+        nodes = _level(nodes.where(F.size("parts") > k), k)
+    for more in ended:
+        nodes = nodes.unionByName(more)
+    found = written(nodes.select("host", "parts", F.col("key").alias("template"), "purity"), "url-templates")
     by_method = F.when(F.col("purity") > REJECT_AT, "block").otherwise("allow")
     return rows.join(found, keys, "left").select(id_col, "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "template", "purity")

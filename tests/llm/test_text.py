@@ -528,6 +528,17 @@ def test_templates_learn_from_labels(spark):
     assert Counter(r.verdict for r in queries.op9_url_filter(spark, SF).collect())["allow"] > 0
 
 
+def test_templates_of_deep_paths_and_many_children(spark):
+    rows = [f"http://h.net/a/b/c/{w}/{chr(97 + k)}" for w in ("spam", "ok") for k in range(20)]
+    rows += [f"http://f.net/{'spam' if k == 0 else 'ok'}{'abcdefghij'[k // 10]}{'ghijklmnop'[k % 10]}/{x}" for k in range(60) for x in "uvwxyz"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = [(f"h.net/a/b/c/{w}/{chr(97 + k)}", v) for w, v in (("spam", "block"), ("ok", "allow")) for k in range(1, 20)]
+    rules += [("f.net/ok", "allow"), *((f"f.net/spamag/{x}", "block") for x in "vwxyz")]
+    got = {r.url: r for r in urls.judge(frame, rules).join(frame, "page_id").collect()}
+    assert got["http://h.net/a/b/c/spam/a"].verdict == "block" and got["http://h.net/a/b/c/ok/a"].verdict == "allow"
+    assert got["http://f.net/spamag/u"].verdict == "block" and got["http://f.net/spamag/u"].rule is None
+
+
 # The pipeline.
 
 
