@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..storage import discard, shared_dir, written
 
-__all__ = ["Bloom", "bounded", "discard", "joined_bytes", "lower_table", "map_batches", "mix64", "shared_dir", "table", "texts", "word_hashes", "written"]
+__all__ = ["Bloom", "bounded", "discard", "fresh", "joined_bytes", "lower_table", "map_batches", "mix64", "parted", "shared_dir", "table", "texts", "word_hashes", "written"]
 
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
@@ -141,6 +141,33 @@ class Bloom:
         return at
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores as long as ``df`` has such a column (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parted(df: DataFrame, keys: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose hash ``own`` may be among the hashes of ``keys`` (one column), and all others.
+
+    Both read ``df``, neither shuffles it: a Bloom filter of fixed size goes to the workers.
+    """
+    bloom = df.sparkSession.sparkContext.broadcast(Bloom.of(keys, keys.columns[0]))
+    name = fresh(df, "key")
+    keyed = df.withColumn(name, own)
+
+    def among(batch: pa.RecordBatch) -> np.ndarray:
+        found = np.zeros(batch.num_rows, bool)
+        found[bloom.value.passed(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        return found
+
+    some = map_batches(keyed, lambda batch: batch.filter(pa.array(among(batch))), keyed.schema)
+    rest = map_batches(keyed, lambda batch: batch.filter(pa.array(~among(batch))), keyed.schema)
+    return some.drop(name), rest.drop(name)
+
+
 def lower_table() -> np.ndarray:
     """Byte map that lower-cases A-Z and leaves every other byte."""
     out = np.arange(256, dtype=np.uint8)
@@ -148,9 +175,12 @@ def lower_table() -> np.ndarray:
     return out
 
 
-def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All UTF-8 bytes of a string column with a zero byte after each row, and each row's start (one more at the end)."""
-    parts = [x.encode() for x in texts(column)]
+def joined_bytes(column: pa.Array, zero: bytes = b"\0") -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of a string column with a zero byte after each row, and each row's start (one more at the end).
+
+    ``zero`` stands for the zero characters of the texts; 0xFF, which UTF-8 never has, tells them from the ends of rows.
+    """
+    parts = [x.encode().replace(b"\0", zero) for x in texts(column)]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8) if parts else np.empty(0, np.uint8)
     return data, np.concatenate(([0], np.cumsum(sizes)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, joined_bytes, lower_table, map_batches, mix64, word_hashes, written
+from .common import Bloom, fresh, joined_bytes, lower_table, map_batches, mix64, parted, word_hashes, written
 
 #: Masks (fixed): 1 is a word that counts, 0 one that is ignored.
 MASKS = ("110110101", "1110010011", "101001100101", "11010001011", "1100101010001")
@@ -212,5 +212,7 @@ def accepted(n: int, matches: int, item_words: int) -> bool:
 
 def clean(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents``, all columns unchanged, without those in ``found`` (a result of ``overlaps``)."""
-    bad = found.select(F.col(id_col).alias("id_"), F.col("text_key").alias("key_")).distinct()
-    return documents.join(bad, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(text_col) == F.col("key_")), "left_anti")
+    id_, key_ = fresh(documents, "id_"), fresh(documents, "key_")
+    bad = written(found.select(F.col(id_col).alias(id_), F.col("text_key").alias(key_)).distinct(), "overlapping")
+    some, rest = parted(documents, bad.select(F.xxhash64(id_, key_)), F.xxhash64(id_col, F.xxhash64(text_col)))
+    return rest.unionByName(some.join(bad, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(key_)), "left_anti"))

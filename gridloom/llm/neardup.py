@@ -1,17 +1,19 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 Texts with the same words become one class first, so copies cost one row from there on. Every class gets a signature of
-``VALUES`` minima, one byte each. The forest has ``TREES`` orders of the classes: order ``t`` sorts by the signature
-rotated by ``t * VALUES / TREES`` places. Neighbours in an order that share a prefix are candidates: at least
-``LEAST_DEPTH`` values. Of a longer run only the ``REACH`` nearest on either side are taken at first. Orders are sorted by
+``VALUES`` minima, one byte each, and a second byte of those that begin an order. The forest has ``TREES`` orders of the
+classes: order ``t`` sorts by the signature rotated by ``t * VALUES / TREES`` places, its first ``LEAST_DEPTH`` values by
+both bytes, so that unlike texts seldom share a prefix in a table of any size. Neighbours in an order that share that
+prefix are candidates. Of a longer run only the ``REACH`` nearest on either side are taken at first. Orders are sorted by
 range over the cluster, so a dense region is spread over tasks; the rows at the ends of the ranges are linked in a
 second pass.
 
 Candidates whose signatures agree far below the threshold go. The others are confirmed on full shingle sets, in rounds:
-each class with its most similar smaller partners first, then all pairs that still lie between components, then each
-class that missed a component against the component's hubs. At last the runs longer than ``REACH`` covers that still hold
-several components are compared in full, block by block, so that no pair with a common prefix goes unseen. Components
-come from hooking and pointer jumping on written tables.
+each class with its most similar smaller partners first, then all pairs that still lie between components. The runs
+longer than ``REACH`` covers that still hold several components are then compared in full, block by block, so that no
+pair with a common prefix goes unseen: pairs between components whose signatures agree up to ``DEVIATIONS`` below the
+threshold are counted on sets of 32-bit hashes, which never counts too little, and a spanning forest of those that meet
+the threshold is confirmed. Components come from hooking and pointer jumping on written tables.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case; shingles are distinct runs of ``size`` words,
 the whole sequence if there are fewer.
@@ -28,23 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
-from .common import Bloom, discard, joined_bytes, lower_table, map_batches, mix64, texts, word_hashes, written
+from .common import Bloom, discard, fresh, joined_bytes, lower_table, map_batches, mix64, parted, word_hashes, written
 
 VALUES, TREES, REACH, LEAST_DEPTH = 128, 16, 4, 3
-#: Values of the signature that a row of an order carries, the first ones being its sort key.
-CARRIED = 64
+#: Bytes that a row of an order carries as its sort key, and those that neighbours share at least.
+CARRIED, PREFIX = 64, 2 * LEAST_DEPTH
 #: Signatures may agree this much less than the threshold before a candidate goes (four deviations at 0.8).
 SLACK = 0.2
 #: Pairs of a class that are confirmed in the first round.
 FIRST_PARTNERS = 3
 #: Rows of an order that a worker compares at a time.
 WINDOW_ROWS = 8192
-#: Classes of a block, about, where long runs are compared in full.
-BLOCK = 256
+#: How many deviations below the threshold signatures may agree where long runs are compared in full; shingles of a block
+#: of classes there, about, and what a class counts at least; pairs after which a worker reduces them to their forest.
+DEVIATIONS, BLOCK, LEAST_WEIGHT, FOREST_PAIRS = 4.5, 1 << 19, 256, 1 << 18
 
 _LOWER = lower_table()
 _WORD = np.ones(256, bool)
@@ -56,7 +59,7 @@ _SHIFTS = _RANDOM.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 def shingles(column: pa.Array, size: int) -> tuple[list[np.ndarray], list[bytes]]:
     """Sorted distinct shingle hashes of every row, and a 128-bit digest of its words (empty without words)."""
-    data, rows = joined_bytes(_without_zero(column))
+    data, rows = joined_bytes(column, b"\xff")
     starts, _, hashes = word_hashes(_LOWER[data], _WORD)
     first = np.searchsorted(starts, rows)
     runs = hashes.copy()
@@ -77,15 +80,10 @@ def shingles(column: pa.Array, size: int) -> tuple[list[np.ndarray], list[bytes]
     return sets, digests
 
 
-def _without_zero(column: pa.Array) -> pa.Array:
-    """Zero characters, which end the rows of joined_bytes, become a character that no text should have."""
-    rows = texts(column)
-    return pa.array([t.replace("\0", "\uffff") for t in rows], pa.string()) if any("\0" in t for t in rows) else column
-
-
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One byte of each of ``VALUES`` minima for every set that is not empty."""
-    out = np.zeros((len(sets), VALUES), np.uint8)
+    """One byte of each of ``VALUES`` minima for every set that is not empty, then a second one of those that begin an order."""
+    out = np.zeros((len(sets), VALUES + TREES * LEAST_DEPTH), np.uint8)
+    step = VALUES // TREES
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
@@ -94,12 +92,26 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         for j in range(VALUES):
             least = np.minimum.reduceat(low * _FACTORS[j] + _SHIFTS[j], starts)
             least ^= least >> np.uint32(15)
-            out[full, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            least *= np.uint32(0x9E3779B1)
+            out[full, j] = least >> np.uint32(24)
+            if j % step < LEAST_DEPTH:
+                out[full, VALUES + j // step * LEAST_DEPTH + j % step] = (least >> np.uint32(16)) & np.uint32(255)
     return out
 
 
+def _prefix(t: int) -> Column:
+    """What the rows of a run of order ``t`` have in common."""
+    return F.concat(F.substring("sig", t * (VALUES // TREES) + 1, LEAST_DEPTH), F.substring("sig", VALUES + t * LEAST_DEPTH + 1, LEAST_DEPTH))
+
+
+def _prefixes(sig: np.ndarray) -> np.ndarray:
+    """The same for all orders, of signatures in rows."""
+    first, second = sig[:, :VALUES].reshape(len(sig), TREES, -1)[:, :, :LEAST_DEPTH], sig[:, VALUES:].reshape(len(sig), TREES, -1)
+    return np.concatenate([first, second], axis=2)
+
+
 def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """``members`` (id, text_key, class, n_shingles) of every row, and ``nodes`` (class, least, copies, sig) of every class."""
+    """``members`` (id, text_key, class, n_shingles) of every row, and ``nodes`` (class, sig, n_shingles, least) of every class."""
     kind = dict(docs.dtypes)["id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,7 +122,7 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, pa.array([len(s) for s in sets], pa.int64()), sig], ["id", "text_key", "class", "n_shingles", "sig"])
 
     each = written(map_batches(docs.select("id", "text_key", "text"), run, f"id {kind}, text_key long, class binary, n_shingles long, sig binary"), "dup-rows")
-    nodes = written(each.where("class is not null").groupBy("class", "sig").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "dup-nodes")
+    nodes = written(each.where("class is not null").groupBy("class", "sig", "n_shingles").agg(F.min("id").alias("least")), "dup-nodes")
     members = written(each.drop("sig"), "dup-members")
     discard(each)
     return members, nodes
@@ -124,7 +136,7 @@ def _neighbours(rows: list[tuple[np.ndarray, np.ndarray, list[bytes]]], fresh: i
     n = len(names)
     for k in range(1, min(REACH, n - 1) + 1):
         at = np.arange(max(0, n - fresh - k), n - k)
-        at = at[(tree[at] == tree[at + k]) & (sig[at, :LEAST_DEPTH] == sig[at + k, :LEAST_DEPTH]).all(axis=1)]
+        at = at[(tree[at] == tree[at + k]) & (sig[at, :PREFIX] == sig[at + k, :PREFIX]).all(axis=1)]
         same = (sig[at] == sig[at + k]).sum(axis=1)
         good = same >= least * CARRIED
         first += at[good].tolist()
@@ -176,11 +188,10 @@ def _linker(least: float):
 
 def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs of classes ``a < b`` that are neighbours in some order, with how many carried values agree."""
-    twice = F.concat("sig", "sig")
-    step = VALUES // TREES
-    key = F.substring(twice, 1, CARRIED)
-    for t in range(1, TREES):
-        key = F.when(F.col("tree") == t, F.substring(twice, t * step + 1, CARRIED)).otherwise(key)
+    twice = F.concat(*[F.substring("sig", 1, VALUES)] * 2)
+    step, key = VALUES // TREES, F.lit(None)
+    for t in range(TREES):
+        key = F.when(F.col("tree") == t, F.concat(_prefix(t), F.substring(twice, t * step + LEAST_DEPTH + 1, CARRIED - PREFIX))).otherwise(key)
     orders = nodes.select("class", "sig", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree")).select("tree", key.alias("key"), "class")
     schema = "a binary, b binary, agree int, tree int, key binary"
     link = _linker(threshold - SLACK)
@@ -210,99 +221,135 @@ def confirmed(pairs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int
     return map_batches(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
 
+def with_roots(roots: DataFrame) -> DataFrame:
+    """``node, root`` of all that is linked, the roots included."""
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components, with ``root_a`` and ``root_b`` (null for a class without links)."""
-    tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    tops = with_roots(roots)
     of = lambda side: tops.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not root_a <=> root_b or root_a is null")
 
 
-def hub_pairs(missed: DataFrame, pairs: DataFrame, nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs of a class that just missed a component with the component's hubs, where they are not candidates yet.
-
-    In a dense region an order shows each class a few neighbours only. What varies one text is close to that text, not
-    to its other variants, so a class with a candidate in a component that it is no part of is held against that
-    component's hubs: the class with most copies, and the one whose candidates agree most in all. At most two pairs a
-    class and component.
-    """
-    near = missed.select(F.col("a").alias("one"), F.col("root_b").alias("root")).unionByName(missed.select(F.col("b").alias("one"), F.col("root_a").alias("root")))
-    near = near.where("root is not null").distinct()
-    agree = pairs.select(F.explode(F.array("a", "b")).alias("node"), "agree").groupBy("node").agg(F.sum("agree").alias("total"))
-    ranked = tops.join(nodes.select(F.col("class").alias("node"), "copies"), "node").join(agree, "node", "left")
-    hubs = ranked.groupBy("root").agg(F.max(F.struct("copies", "node")).alias("x"), F.max(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "node")).alias("y"))
-    hubs = hubs.select("root", F.explode(F.array_distinct(F.array("x.node", "y.node"))).alias("hub"))
-    found = near.join(hubs, "root").where("one != hub").select(F.least("one", "hub").alias("a"), F.greatest("one", "hub").alias("b")).distinct()
-    return found.join(pairs, ["a", "b"], "left_anti")
-
-
 def long_runs(nodes: DataFrame) -> DataFrame:
-    """``tree, prefix, class`` of the runs in which some classes lie farther apart than ``REACH``."""
-    prefixes = F.array(*[F.substring("sig", t * (VALUES // TREES) + 1, LEAST_DEPTH) for t in range(TREES)])
-    places = nodes.select("class", F.posexplode(prefixes).alias("tree", "prefix"))
+    """``tree, prefix, class, n_shingles`` of the runs in which some classes lie farther apart than ``REACH``."""
+    prefixes = F.array(*map(_prefix, range(TREES)))
+    places = nodes.select("class", "n_shingles", F.posexplode(prefixes).alias("tree", "prefix"))
     long = places.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > REACH + 1).select("tree", "prefix")
     return written(places.join(long, ["tree", "prefix"]), "dup-runs")
 
 
-def run_links(runs: DataFrame, nodes: DataFrame, tops: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Confirmed pairs ``a, b`` that join all components of a long run which any of its pairs joins.
+def mixed_runs(runs: DataFrame, tops: DataFrame) -> DataFrame:
+    """The classes of the long runs that hold several components, in each two blocks that meet: ``tree, prefix, x, y, own, class, root``.
 
     The classes of a run's largest component and those of all others are dealt to blocks by hash. Each block of the others
-    meets every block, so pairs inside the largest component cost nothing; runs of one component are left out.
+    meets every block, so pairs inside the largest component cost nothing.
     """
-    up, down = threshold
-    least = (up / down - SLACK) * VALUES
     keys = ["tree", "prefix"]
-    placed = written(runs.join(tops.select(F.col("node").alias("class"), "root"), "class", "left").select(*keys, "class", F.coalesce("root", "class").alias("root")), "dup-placed")
-    parts = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    placed = written(runs.join(tops.select(F.col("node").alias("class"), "root"), "class", "left").select(*keys, "class", "n_shingles", F.coalesce("root", "class").alias("root")), "dup-placed")
+    parts = placed.groupBy(*keys, "root").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST_WEIGHT))).alias("n"))
     mixed = parts.groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
     mixed = mixed.select(*keys, F.col("most.root").alias("top"), F.ceil(F.col("most.n") / BLOCK).alias("inner"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("outer"))
-    dealt = placed.join(mixed, keys)
     part = F.xxhash64("class")
     own = F.when(F.col("root") == F.col("top"), F.col("outer") + F.pmod(part, F.col("inner"))).otherwise(F.pmod(part, F.col("outer")))
     partners = F.when(F.col("root") == F.col("top"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
-    dealt = written(dealt.select(*keys, "class", "root", own.alias("own"), partners.alias("partners")), "dup-dealt")
+    dealt = placed.join(mixed, keys).select(*keys, "class", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), partners - 1)).alias("other"))
+    return dealt.select(*keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root")
+
+
+class _Blocks:
+    """Two blocks of a run (one, if they are the same) whose pairs are compared."""
+
+    def __init__(self, rows: pa.Table, threshold: tuple[int, int]) -> None:
+        self.up, self.down = threshold
+        share = self.up / self.down
+        self.least = VALUES * (share - DEVIATIONS * (share * (1 - share) / VALUES) ** 0.5)
+        tree, x, y = (rows[c][0].as_py() for c in ("tree", "x", "y"))
+        own, self.sizes = rows["own"].to_numpy(), rows["n_shingles"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(own), -1)
+        self.sig, self.earlier = np.ascontiguousarray(sig[:, :VALUES]), _prefixes(sig)[:, :tree]
+        self.roots = np.unique(np.array([r.hex() for r in rows["root"].to_pylist()]), return_inverse=True)[1]
+        self.one, self.two, self.same = np.flatnonzero(own == x), np.flatnonzero(own == y), x == y
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row with those of other components that may be as similar; a pair comes once."""
+        for i in self.one:
+            at = self.two[self.two > i] if self.same else self.two
+            at = at[self.roots[at] != self.roots[i]]
+            at = at[self.down * np.minimum(self.sizes[at], self.sizes[i]) >= self.up * np.maximum(self.sizes[at], self.sizes[i])]
+            at = at[(self.sig[at] == self.sig[i]).sum(axis=1) >= self.least]
+            at = at[~(self.earlier[at] == self.earlier[i]).all(axis=2).any(axis=1)]  # an earlier order has these in one run
+            if len(at):
+                yield i, at
+
+    def forest(self, pairs: np.ndarray) -> np.ndarray:
+        """The pairs (rows of a table) that join components which those before do not."""
+        roots, keep = self.roots.copy(), []
+        left = np.arange(len(pairs))
+        while len(left := left[roots[pairs[left, 0]] != roots[pairs[left, 1]]]):
+            a, b = pairs[left[0]]
+            keep.append(left[0])
+            roots[roots == roots[b]] = roots[a]
+        return pairs[keep]
+
+
+def active(met: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The rows of ``met`` (a result of ``mixed_runs``) that have a partner by signatures."""
+    keys = ["tree", "prefix", "x", "y"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        seen = np.zeros(rows.num_rows, bool)
+        for i, at in _Blocks(rows, threshold).partners():
+            seen[i] = True
+            seen[at] = True
+        return rows.select([*keys, "own", "class", "root"]).filter(pa.array(seen))
+
+    rows = met.join(nodes.select("class", "n_shingles", "sig"), "class").select(*keys, "own", "class", "root", "n_shingles", "sig")
+    return written(rows.groupBy(*keys).applyInArrow(run, met.select(*keys, "own", "class", "root").schema), "dup-active")
+
+
+def hashed_sets(wanted: DataFrame, nodes: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """``class, n_shingles, sig, set`` of the classes in ``wanted``; the set as 32-bit hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in shingles(batch.column(3), size)[0]]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["class", "n_shingles", "sig", "set"])
+
+    rows = nodes.join(wanted, "class", "left_semi").join(sets, "class").select("class", "n_shingles", "sig", "text")
+    return written(map_batches(rows, run, "class binary, n_shingles long, sig binary, set binary"), "dup-sets")
 
-    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, _ = shingles(batch.column(2), size)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "sig", "set"])
 
-    wanted = nodes.join(dealt.select("class").distinct(), "class", "left_semi")
-    full = written(map_batches(wanted.join(sets, "class").select("class", "sig", "text"), shingled, "class binary, sig binary, set binary"), "dup-sets")
-    met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partners") - 1)).alias("other"))
-    met = met.select(*keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root").join(full, "class")
+def run_pairs(some: DataFrame, hashed: DataFrame, threshold: tuple[int, int], forest: bool) -> DataFrame:
+    """Pairs ``a, b`` of classes in one long run and different components that meet the threshold on hashed sets.
+
+    With ``forest``, of each two blocks only the pairs of a spanning forest between components; otherwise all.
+    """
+    keys = ["tree", "prefix", "x", "y"]
 
     def run(rows: pa.Table) -> pa.Table:
-        tree, x, y = rows["tree"][0].as_py(), rows["x"][0].as_py(), rows["y"][0].as_py()
-        names, own = rows["class"].to_pylist(), rows["own"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        earlier = sig.reshape(len(sig), TREES, -1)[:, :tree, :LEAST_DEPTH]
-        roots = np.unique(np.array([r.hex() for r in rows["root"].to_pylist()]), return_inverse=True)[1]
-        own_sets = [np.frombuffer(s, np.uint64) for s in rows["set"].to_pylist()]
-        sizes = np.array([len(s) for s in own_sets])
-        values, flat = np.unique(np.concatenate(own_sets), return_inverse=True)
-        ids = np.split(flat, np.cumsum(sizes)[:-1])
+        blocks, names = _Blocks(rows, threshold), rows["class"].to_pylist()
+        sets = [np.frombuffer(s, np.uint32) for s in rows["set"].to_pylist()]
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(flat, np.cumsum(blocks.sizes)[:-1])
         mark = np.zeros(len(values), np.int64)
-        one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        first, second = [], []
-        for i in one:
-            at = two[two > i] if x == y else two
-            at = at[roots[at] != roots[i]]
-            at = at[down * np.minimum(sizes[at], sizes[i]) >= up * np.maximum(sizes[at], sizes[i])]
-            at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-            at = at[~(earlier[at] == earlier[i]).all(axis=2).any(axis=1)]  # an earlier order has these in one run
-            if not len(at):
-                continue
+        found, held = [np.empty((0, 2), np.int64)], 0
+        for i, at in blocks.partners():
             mark[ids[i]] = 1
-            common = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
+            common = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate(([0], np.cumsum(blocks.sizes[at])[:-1])))
             mark[ids[i]] = 0
-            for j in at[down * common >= up * (sizes[at] + sizes[i] - common)]:
-                if roots[j] != roots[i]:
-                    first.append(names[i])
-                    second.append(names[j])
-                    roots[roots == roots[j]] = roots[i]
-        return pa.table([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["a", "b"])
+            at = at[blocks.down * common >= blocks.up * (blocks.sizes[at] + blocks.sizes[i] - common)]
+            found.append(np.stack([np.full(len(at), i), at], axis=1))
+            held += len(at)
+            if forest and held >= FOREST_PAIRS:
+                found, held = [blocks.forest(np.concatenate(found))], 0
+        pairs = np.concatenate(found)
+        pairs = blocks.forest(pairs) if forest else pairs
+        ends = [[fn(names[i], names[j]) for i, j in pairs] for fn in (min, max)]
+        return pa.table([pa.array(x, pa.binary()) for x in ends], ["a", "b"])
 
-    return met.groupBy(*keys, "x", "y").applyInArrow(run, "a binary, b binary")
+    return some.join(hashed, "class").groupBy(*keys).applyInArrow(run, "a binary, b binary")
 
 
 def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,8 +371,8 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
     def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.take(pa.array(bloom.value.passed(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    full = map_batches(keyed, passed, keyed.schema).drop("key").dropDuplicates(["id", "text_key"])
-    sets = written(full.join(some, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).select("class", "text"), "dup-texts")
+    full = map_batches(keyed, passed, keyed.schema).join(some.withColumn("key", F.xxhash64("id_", "key_")), "key")
+    sets = written(full.where(F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).dropDuplicates(["key", "class"]).select("class", "text"), "dup-texts")
 
     # Links are confirmed in rounds: for each class its most similar partners first, then all pairs that are left between
     # components. Most pairs fall inside a component before their turn.
@@ -334,17 +381,19 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
     roots = stars(confirmed(first, sets, size, threshold))
     left = written(between(pairs.join(first, ["a", "b"], "left_anti"), roots).select("a", "b", "agree"), "dup-turn")
     roots = stars(written(confirmed(left, sets, size, threshold), "dup-links").unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    missed = between(first.unionByName(left), roots)
-
-    tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    more = written(confirmed(hub_pairs(missed, pairs, nodes, tops), sets, size, threshold), "dup-links")
-    if not more.isEmpty():
-        roots = stars(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-        tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    last = written(run_links(runs, nodes, tops, sets, size, threshold), "dup-links")
-    if not last.isEmpty():
-        roots = stars(last.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-        tops = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+    # Long runs: a forest joins all that belongs together unless a pair of it fails on the full sets; then all are asked.
+    hashed = None
+    for forest in (True, False):
+        some = active(mixed_runs(runs, with_roots(roots)), nodes, threshold)
+        hashed = hashed or hashed_sets(some.select("class").distinct(), nodes, sets, size)
+        asked = written(run_pairs(some, hashed, threshold, forest).distinct(), "dup-turn")
+        more = written(confirmed(asked, sets, size, threshold), "dup-links")
+        if not more.isEmpty():
+            roots = stars(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        if asked.count() == more.count():
+            break
+    tops = with_roots(roots)
     named = nodes.select(F.col("class").alias("node"), "least")
     grouped = tops.join(named, "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("top"))
@@ -357,8 +406,14 @@ def group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that ``groups`` keeps; one of repeated rows."""
-    kept = groups.where("kept").select(F.col(id_col).alias("id_"), F.col("text_key").alias("key_")).distinct()
-    keyed = docs.withColumn("key_of_text_", F.xxhash64(text_col))
-    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("key_of_text_") == F.col("key_")), "left_semi")
-    return found.dropDuplicates([id_col, "key_of_text_"]).drop("key_of_text_")
+    """The rows of ``docs``, all columns unchanged, that ``groups`` keeps; one of repeated rows.
+
+    Only the rows that may go or are repeated meet ``groups`` in a shuffle; all others stay where they are.
+    """
+    id_, key_, kept_ = (fresh(docs, c) for c in ("id_", "key_", "kept_"))
+    special = groups.groupBy(F.col(id_col).alias(id_), F.col("text_key").alias(key_)).agg(F.bool_or("kept").alias(kept_), F.count("*").alias("n"))
+    special = written(special.where(~F.col(kept_) | (F.col("n") > 1)).drop("n"), "dup-special")
+    some, rest = parted(docs, special.select(F.xxhash64(id_, key_)), F.xxhash64(id_col, F.xxhash64(text_col)))
+    met = some.join(special, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(key_)), "left")
+    once = met.where(kept_).dropDuplicates([id_, key_]).unionByName(met.where(F.col(kept_).isNull()))
+    return rest.unionByName(once.drop(id_, key_, kept_))

@@ -11,7 +11,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontam, html, langid, license, media, neardup, pii, queries, tokens, urls
 
@@ -274,6 +276,28 @@ def test_near_duplicates_odd_rows(spark):
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_zero_characters_tell_words_apart(spark):
+    words = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join([*words, "a\0b"])), (2, " ".join([*words, "a\uffffb"])), (3, " ".join([*words, "a\0b"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {1: (30, 1), 2: (30, 1), 3: (30, 1)}
+    assert len(set(neardup.shingles(pa.array([t for _, t in rows]), 2)[1])) == 2
+
+
+def test_columns_with_the_names_of_keys(spark):
+    """Stages on documents have room for columns of any name, and keep repeated rows once."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (3, "something else"), (3, "something else"), (4, None), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("id_", "key_", "key", "kept_", "key_of_text_", "id", "text_key", "kept", "n")})
+    one = neardup.keep_one(docs, neardup.group(docs, 5))
+    assert one.columns == docs.columns and {r.key_of_text_ for r in one.collect()} == {"key_of_text_"}
+    assert sorted(map(str, (r.doc_id for r in one.collect()))) == ["1", "3", "4", "None"]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    clean = decontam.clean(docs, decontam.overlaps(docs, bench))
+    assert clean.columns == docs.columns and sorted(map(str, (r.doc_id for r in clean.collect()))) == ["3", "3", "4", "None", "None"]
+
+
 def test_near_duplicates_query(spark):
     rows = [(r.doc_id, r.text) for r in sample(spark).collect()]
     want = {i: w for (i, _), w in zip(rows, components_by_force(rows, 2), strict=True)}
