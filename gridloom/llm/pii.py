@@ -6,8 +6,9 @@ and identifier cues. Local parsers then grow each anchor to its boundaries and v
 Kinds, in the order in which they are listed: ``email``, ``ip``, ``card`` (Luhn), ``phone`` are the base kinds, with
 leftmost non-overlapping spans per kind. The method adds ``url`` (an address that carries user information),
 ``address`` (house number and street cue), ``account`` (IBAN by its check digits; a number that an account cue names)
-and ``secret`` (a password, token or key that is assigned). An added span other than ``url`` that touches a base span is
-left out.
+and ``secret`` (a password, token or key that is assigned: with a digit, or quoted, after an equals sign, of 16
+characters or more, or of mixed case or signs). An added span other than ``url`` that lies inside a base span is left out; one that
+holds base spans stays beside them. Runs have no greatest length.
 
 Defined cases: null text has no spans; spans count code points, end exclusive; repeated rows give repeated results; an
 empty table gives an empty result; columns other than id and text are ignored (``redact`` keeps them as they are).
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -30,8 +34,8 @@ KINDS = (*BASE_KINDS, "url", "address", "account", "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 #: Cues (fixed values), matched in lower, title and upper case.
-ACCOUNT_CUES = ("iban", "account", "acct", "routing number", "passport", "ssn", "social security", "kontonummer", "compte", "cuenta")
-SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "api key", "apikey", "access_key")
+ACCOUNT_CUES = ("account", "acct", "routing number", "passport", "ssn", "social security", "kontonummer", "compte", "cuenta")
+SECRET_CUES = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api key", "access key", "secret key", "private key", "encryption key", "client secret")
 STREET_CUES = (" street", " st.", " avenue", " ave.", " road", " rd.", " boulevard", " blvd", " lane", "straße", "strasse")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,13 +46,24 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"://[^\s/?#@:]+(?::[^\s/?#@]*)?@[^\s/?#@]+[^\s]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
-_NAMED_NUMBER = re.compile(r"(?:[ ]?(?:no\.?|nr\.?|number|#))?[ ]?[:=#]?[ ]?([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"""[ ]?[:=][ ]?["']?(?=[A-Za-z0-9_+/=.-]{8})""")
+_IBAN_STARTS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_NAMED_NUMBER = re.compile(r"(?:[ ]?(?:no\.?|nr\.?|number|#))?[ ]?[:=#]?[ ]?([A-Z0-9](?:[ -]?[A-Z0-9])*+)(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"""["']?[ ]?([:=])[ ]?(["']?)(?=[A-Za-z0-9_+/=.-]{8})""")
 _VALUE = re.compile(r"[A-Za-z0-9_+/=.-]+")
 _HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?(?: [^\W\d_][\w.'-]*){1,4}$")
 _HOUSE_AFTER = re.compile(r" [0-9]{1,4}[a-z]?(?![0-9A-Za-z])")
 
 
+def _forms(cue: str) -> set[str]:
+    """A cue in lower, title and upper case; one of several words also joined by underscore, hyphen or in camel case."""
+    cases = lambda c: {c, c.title(), c if "ß" in c else c.upper()}
+    first, *rest = cue.strip().split(" ")
+    if not rest or cue.startswith(" "):
+        return cases(cue)
+    camel = first + "".join(w.title() for w in rest)
+    return {camel, *(f for gap in (" ", "_", "-", "") for f in cases(cue.replace(" ", gap)))}
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     """The anchors; each key carries (what it announces, its length)."""
@@ -62,7 +77,7 @@ def automaton() -> ahocorasick.Automaton:
                 found.setdefault(a + gap + b, set()).add("card")
     for what, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("address", STREET_CUES)):
         for cue in cues:
-            for form in {cue, cue.title(), cue.upper() if "ß" not in cue else cue}:
+            for form in _forms(cue):
                 found.setdefault(form, set()).add(what)
     for key, what in found.items():
         out.add_word(key, (tuple(sorted(what)), len(key)))
@@ -129,7 +144,7 @@ def _urls(text: str, anchors: list[int]) -> list[tuple[int, int]]:
     out = []
     for at in anchors:
         start = at
-        while start > 0 and at - start < 32 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-")):
+        while start > 0 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-")):
             start -= 1
         if start < at and (m := _URL_REST.match(text, at)):
             out.append((start, m.end()))
@@ -142,7 +157,10 @@ def _addresses(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int
         if end < len(text) and text[end].isalnum():
             continue
         if text[start] == " ":
-            if m := _HOUSE.search(text, max(0, start - 64), start):
+            low = start
+            for _ in range(5):  # a number and up to four words
+                low = max(0, text.rfind(" ", 0, low))
+            if m := _HOUSE.search(text, low, start):
                 out.append((m.start(), end))
         elif m := _HOUSE_AFTER.match(text, end):
             while start > 0 and text[start - 1].isalpha():
@@ -151,17 +169,30 @@ def _addresses(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
+def _ibans(text: str, pairs: list[int]) -> list[tuple[int, int]]:
+    """Valid IBANs, from the digit pairs that hold their check digits."""
+    out, floor = [], 0
+    for at in pairs:
+        if at - 2 < floor or not _IBAN_STARTS.match(text, at - 2) or not (m := _IBAN.match(text, at - 2)):
+            continue
+        code = m[0]
+        while code and not _iban(code):  # words in capitals may follow
+            code = code.rpartition(" ")[0]
+        if code:
+            floor = at - 2 + len(code)
+            out.append((at - 2, floor))
+    return out
+
+
 def _accounts(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out = []
+    out, stop = [], 0
     for start, end in anchors:
-        if start and text[start - 1].isalnum():
+        if end < stop or start and text[start - 1].isalnum():  # cues inside a run have no more digits than the run
             continue
-        if m := _IBAN.search(text, end, end + 64):
-            if _iban(m[0]):
-                out.append(m.span())
-                continue
-        if text[start:end].lower() != "iban" and (m := _NAMED_NUMBER.match(text, end)) and sum(c in _DIGITS for c in m[1]) >= 6:
-            out.append(m.span(1))
+        if m := _NAMED_NUMBER.match(text, end):
+            stop = m.end()
+            if len(m[1]) >= 6 and sum(c in _DIGITS for c in m[1]) >= 6:
+                out.append(m.span(1))
     return out
 
 
@@ -170,14 +201,21 @@ def _secrets(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]
     for _, end in anchors:
         if not (m := _ASSIGNED.match(text, end)):
             continue
-        if m.end() >= stop:  # cues inside a value share its end and its last digit
-            stop = _VALUE.match(text, m.end()).end()
-            digit = max(text.rfind(d, m.end(), stop) for d in _DIGITS)
-        if digit >= m.end():
-            out.append((m.end(), stop))
+        start = m.end()
+        if start >= stop:  # cues inside a value share its end and its last digit
+            stop = _VALUE.match(text, start).end()
+            digit = max(text.rfind(d, start, stop) for d in _DIGITS)
+        if digit >= start or m[1] == "=" or m[2] or stop - start >= 16 or _mixed(text[start : start + 16]):
+            out.append((start, stop))
     return out
 
 
+def _mixed(value: str) -> bool:
+    """Whether a value looks like no word: capitals after its first character beside small letters, or a sign inside."""
+    inner = value.rstrip("._-")[1:]
+    return any(c in "+/=_" for c in inner) or any(c.isupper() for c in inner) and any(c.islower() for c in value)
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans of a whole text as (start, end, kind), by start, then kind as listed."""
     anchors: dict[str, list[tuple[int, int]]] = {}
@@ -194,15 +232,25 @@ def find(text: str) -> list[tuple[int, int, str]]:
         "phone": _runs(text, starts.get("phone", []), _PHONE, 9, 15),
     }
     out = [(s, e, k) for k, spans in base.items() for s, e in spans]
-    taken = sorted((s, e) for s, e, _ in out)
+    taken = _reach([(s, e) for s, e, _ in out])
     out += [(s, e, "url") for s, e in _urls(text, starts.get("url", []))]
     added = [(s, e, "address") for s, e in _addresses(text, anchors.get("address", []))]
-    added += [(s, e, "account") for s, e in _accounts(text, anchors.get("account", []))]
+    ibans = _ibans(text, starts.get("card", []))
+    added += [(s, e, "account") for s, e in ibans]
+    known = _reach(ibans)
+    added += [(s, e, "account") for s, e in _accounts(text, anchors.get("account", [])) if known(e - 1) <= s]
     added += [(s, e, "secret") for s, e in _secrets(text, anchors.get("secret", []))]
-    out += [x for x in set(added) if not any(s < x[1] and x[0] < e for s, e in taken)] if added else []
+    out += [(s, e, k) for s, e, k in set(added) if taken(s) < e]
     return sorted(out, key=lambda x: (x[0], _ORDER[x[2]], x[1]))
 
 
+def _reach(spans: list[tuple[int, int]]) -> Callable[[int], int]:
+    """A function that gives the furthest end of the spans that start at a place or before (0 if there is none)."""
+    spans = sorted(spans)
+    starts, ends = [a for a, _ in spans], [0, *accumulate((b for _, b in spans), max)]
+    return lambda at: ends[bisect_right(starts, at)]
+
+
 def label(spans: list[tuple[int, int, str]]) -> str:
     """``kind:start:end``, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -85,6 +86,34 @@ def test_long_secrets_are_masked_whole():
     pii.find("token=" * 20000)  # takes time in proportion to the text
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password: correcthorsebattery", "password: [SECRET]"),
+        ('accessKey = "AbCdEfGhIjKl"', 'accessKey = "[SECRET]"'),
+        ("CLIENT_SECRET=abcdefgh x", "CLIENT_SECRET=[SECRET] x"),
+        ('{"privateKey": "abcdefgh"}', '{"privateKey": "[SECRET]"}'),
+        ("token=ab4111111111111111xyzsecrettail9 end", "token=[SECRET] end"),
+        ("token=4111111111111111xyzsecrettail9 end", "token=[CARD] end"),  # masked whole, under the first kind
+        ("the password: required by law", "the password: required by law"),
+        ("the secret: patience", "the secret: patience"),
+        ("IBAN " + "of my dear old friend " * 9 + "GB29 NWBK 6016 1331 9268 19 AND MORE", "IBAN " + "of my dear old friend " * 9 + "[ACCOUNT] AND MORE"),
+        ("account no. " + "1234 " * 30 + "end", "account no. [ACCOUNT] end"),
+        (f"12 {'X' + 'y' * 200}street Z Street", "[ADDRESS]"),
+        ("s" * 100 + "://me:pw@host.org/x", "[URL]"),
+    ],
+)
+def test_values_of_any_length_and_form(text, want):
+    assert pii.masked(text) == want
+
+
+def test_spans_take_time_in_proportion():
+    for text in ("ACCOUNT " * 50000, "token=" * 50000, "GB29 " * 50000, "ssn 123456 4111111111111111 " * 20000, "1 a street " * 20000, "x" * 10**6 + "://" * 10**5):
+        begin = time.monotonic()
+        pii.find(text)
+        assert time.monotonic() - begin < 5
+
+
 def test_pii_query_and_odd_rows(spark):
     rows = {r.doc_id: r.text for r in sample(spark).collect()}
     for r in queries.op1_pii(spark, SF).collect():
