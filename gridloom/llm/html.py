@@ -16,6 +16,7 @@ repeated results; an empty table gives an empty result; columns other than those
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections import Counter
@@ -32,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noframes iframe noscript template".split())
 CONTAINERS = frozenset("body main article section div td center content".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form button select option input dialog menu script style noscript template iframe svg canvas object audio video map head title textarea".split())
+DROPPED = frozenset("nav header footer aside button select option input dialog menu script style noscript template iframe svg canvas object audio video map head title textarea".split())  # and a form that holds no article or main
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words in a class or id that mark boilerplate.
 DROPPED_WORDS = frozenset(
@@ -48,14 +49,17 @@ STATE_FIRST, STATE_LAST = frozenset("has no not with without category tag tagged
 SAFE_FROM_WORDS = frozenset(("html", "body", "main", "article"))
 #: Share of a page's running text that the extracted container has where no article or main marks it.
 NEARLY_ALL = 0.9
-#: Levels of a container's path, from the container outward.
-PATH_LEVELS = 24
+#: Characters of a path from which on it is written as a digest, so that deep pages do not hold long paths.
+LONG_PATH = 200
 #: An open element that the start of another ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that such an implied end does not reach beyond.
 BARRIERS = frozenset("table td th ul ol dl div section article main body aside nav footer header form blockquote".split())
+#: Elements that the end of a paragraph or list item does not reach beyond.
+ITEM_BARRIERS = frozenset("table td article section body".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]{0,65536}"|=\s*'[^']{0,65536}'|[^>])*+)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
+_IN_TAG = re.compile(r"""=\s*["']|>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -74,16 +78,24 @@ def _boilerplate(marks: str) -> tuple[bool, bool]:
     return whole, part
 
 
+def _step(path: str, label: str) -> str:
+    """The path of a container inside ``path``: all tags and class words from the page down, or their digest if that is long."""
+    whole = f"{path}/{label}" if path else label
+    return whole if len(whole) <= LONG_PATH else "#" + hashlib.blake2b(whole.encode(), digest_size=16).hexdigest()
+
+
 class Page:
     """Blocks of a page: each has its container, its text and how much of that stands in links."""
 
     def __init__(self, source: str) -> None:
         self.parents: list[int] = [-1]
         self.labels: list[str] = ["body"]
+        self.paths: list[str] = [_step("", "body")]  # of the containers, from the page down
         self.depths: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.doubts: list[int] = [-1]  # the parent of each element that a part of its class speaks against; 0 is the page
         self.holders: set[int] = set()  # those that stand directly round an article or main
+        self._strict: set[int] = set()  # those that stay only if they hold the article or main
         self._doubts_of: list[int] = []  # for each block
         self._parse(source)
         self._settle()
@@ -93,6 +105,25 @@ class Page:
         container, dropped, linked, doubt = 0, False, False, 0
         buffer: list[str] = []
         links, at, end = 0, 0, len(source)
+        places: dict[str, list[int]] = {}  # of the open elements of each tag, and of the barriers
+        last_quote = {q: source.rfind(q) for q in "\"'"}
+
+        def place(*tags: str) -> int:
+            return max((found[-1] for t in tags if (found := places.get(t))), default=-1)
+
+        def kinds(tag: str) -> list[str]:
+            return [tag, *[">"] * (tag in BARRIERS), *[">>"] * (tag in ITEM_BARRIERS)]
+
+        def tag_end(at: int) -> tuple[str, int]:
+            """The attributes of the tag that has its name up to ``at``, and the place after it."""
+            begin = at
+            while m := _IN_TAG.search(source, at):
+                at = m.end()
+                if m[0] == ">":
+                    return source[begin : at - 1], at
+                if last_quote[m[0][-1]] >= at:
+                    at = source.index(m[0][-1], at) + 1
+            return source[begin:], end
 
         def flush() -> None:
             nonlocal links
@@ -110,6 +141,9 @@ class Page:
                     flush()
                     break
             _, container, dropped, linked, doubt = stack[upto]
+            for tag, *_ in stack[upto:]:
+                for kind in kinds(tag):
+                    places[kind].pop()
             del stack[upto:]
 
         while at < end:
@@ -125,29 +159,20 @@ class Page:
             tag = (m[2] or "").lower()
             if not tag:
                 continue
+            rest, at = tag_end(at)
             if m[1]:
                 if tag == "br":
                     buffer.append(" ")
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag in INLINE and stack[i][0] in BARRIERS or tag in ("p", "li") and stack[i][0] in ("table", "td", "article", "section", "body"):
-                        break
+                if (found := place(tag)) > (place(">") if tag in INLINE else place(">>") if tag in ("p", "li") else -1):
+                    close(found)
                 continue
-            rest = m[3]
             if tag == "br" or tag in ("wbr", "img", "input"):
                 if tag == "br" and not dropped:
                     buffer.append(" ")
                 continue
             if tag not in INLINE:
-                ended = CLOSES.get(tag)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or ended and stack[i][0] in ended:
-                        close(i)
-                        break
-                    if stack[i][0] in BARRIERS:
-                        break
+                if (found := place("p", *CLOSES.get(tag, ()))) >= max(0, place(">")):
+                    close(found)
                 flush()
             if tag in VOID:
                 continue
@@ -157,6 +182,8 @@ class Page:
                 continue
             if tag in ("html", "body"):
                 continue
+            for kind in kinds(tag):
+                places.setdefault(kind, []).append(len(stack))
             stack.append((tag, container, dropped, linked, doubt))
             if tag == "a":
                 linked = True
@@ -172,50 +199,56 @@ class Page:
                     whole, part = _boilerplate(marks)
             if tag in DROPPED or whole and tag not in SAFE_FROM_WORDS:
                 dropped = True
-            if part and not dropped and tag not in SAFE_FROM_WORDS:
+            if (part or tag == "form") and not dropped and tag not in SAFE_FROM_WORDS:
                 if tag in INLINE:
                     dropped = True
                 else:
                     self.doubts.append(doubt)
                     doubt = len(self.doubts) - 1
+                    if tag == "form":
+                        self._strict.add(doubt)
             if tag in ("article", "main") and not dropped and not part:
                 self.holders.add(doubt)
             if tag in CONTAINERS and not dropped:
                 self.parents.append(container)
                 self.labels.append(".".join([tag, *sorted(set(words))]))
+                self.paths.append(_step(self.paths[container], self.labels[-1]))
                 self.depths.append(self.depths[container] + 1)
                 container = len(self.parents) - 1
         flush()
 
+    def _worth_of_doubts(self, gone: set[int]) -> list[int]:
+        """The running text in each doubtful element, and in the page first, without those that are gone."""
+        worth = [0] * len(self.doubts)
+        for (_, text, links), d in zip(self.blocks, self._doubts_of, strict=True):
+            if d not in gone:
+                worth[d] += max(0, len(text) - 2 * links)
+        for d in range(len(self.doubts) - 1, 0, -1):
+            worth[self.doubts[d]] += worth[d]
+        return worth
+
     def _settle(self) -> None:
         """Drop the blocks of the doubtful elements, but for those that hold the article or main, or most running text."""
         if len(self.doubts) == 1:
             return
-        worth = [0] * len(self.doubts)
-        for (_, text, links), d in zip(self.blocks, self._doubts_of, strict=True):
-            worth[d] += max(0, len(text) - 2 * links)
+        worth = self._worth_of_doubts(set())
         depths = [0] * len(self.doubts)
         for d in range(1, len(self.doubts)):
             depths[d] = depths[self.doubts[d]] + 1
-        for d in range(len(self.doubts) - 1, 0, -1):
-            worth[self.doubts[d]] += worth[d]
         kept = {0}
         if self.holders:  # the outermost; of equals the one with most text
             d = min(self.holders, key=lambda d: (depths[d], -worth[d], d))
             while d > 0:
                 kept.add(d)
                 d = self.doubts[d]
+        gone = self._strict - kept
+        for d in range(1, len(self.doubts)):
+            if self.doubts[d] in gone:
+                gone.add(d)
+        worth = self._worth_of_doubts(gone)
         kept |= {d for d in range(1, len(self.doubts)) if 2 * worth[d] > worth[0]}
         self.blocks = [b for b, d in zip(self.blocks, self._doubts_of, strict=True) if d in kept]
 
-    def path(self, container: int) -> str:
-        """The container's generalised path: tags with the words of their classes, the innermost ``PATH_LEVELS`` of them."""
-        out: list[str] = []
-        while container >= 0 and len(out) < PATH_LEVELS:
-            out.append(self.labels[container])
-            container = self.parents[container]
-        return "/".join(reversed(out))
-
     def scores(self) -> Counter:
         """Running text of each container: its own blocks in full, its children's by half; links count against it."""
         out: Counter = Counter()
@@ -232,7 +265,7 @@ class Page:
         if not scores:
             return None
         best = min(scores, key=lambda c: (-scores[c], -self.depths[c], c))
-        return self.path(self._lifted(best)), scores[best]
+        return self.paths[self._lifted(best)], scores[best]
 
     def _lifted(self, best: int) -> int:
         """The article or main next around a container; where there is none, the lowest one around it with nearly all running text."""
@@ -251,10 +284,9 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """The blocks under the containers that ``path`` names; under the page's own best where it names none."""
-        paths = [self.path(c) for c in range(len(self.labels))]
-        inside = {c for c, p in enumerate(paths) if p == path} if path else set()
+        inside = {c for c, p in enumerate(self.paths) if p == path} if path else set()
         if not inside and (own := self.vote()):
-            inside = {c for c, p in enumerate(paths) if p == own[0]}
+            inside = {c for c, p in enumerate(self.paths) if p == own[0]}
         for c in range(len(self.parents)):
             if self.parents[c] in inside:
                 inside.add(c)

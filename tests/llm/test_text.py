@@ -531,6 +531,66 @@ def test_wrappers_with_boilerplate_words_stay(attributes):
     assert html.Page("<article><p>one</p><section class='article related-open'><p>two</p></section><div class=share-links>no</div></article>").text(None) == "one\ntwo"
 
 
+@pytest.mark.parametrize("marks", ["post share-enabled", "content with-sidebar", "post-content ad-free", "entry comments-open", "main-form", "blog-post related-posts-enabled"])
+def test_bodies_without_article_stay_whatever_their_class(marks):
+    body = "words of the body that run on for a while " * 9
+    source = f"<html><body><div class=menu><a href=x>Home</a></div><div class='{marks}'><p>{body}</p></div><div class='comments'><p>{body}{body}</p></div></body></html>"
+    assert html.Page(source).text(None) == body.strip()
+
+
+def test_forms_go_unless_they_hold_the_article():
+    body = "words of the body that run on " * 9
+    assert html.Page(f"<form id=aspnetForm><nav>n</nav><article><p>{body}</p><form><p>{body}</p></form></article></form>").text(None) == body.strip()
+    assert html.Page(f"<div><p>{body}</p></div><form><div class=my-share><p>{body * 5}</p></div></form>").text(None) == body.strip()
+
+
+def test_pages_take_time_in_proportion():
+    nested = "".join(f"<div class=c{k % 3}>" for k in range(12000))
+    sources = [nested + "text" + "</span></x></p>" * 12000, "<b>" + "<div><i>" * 6000 + "</b>" * 12000, "<p>" * 20000, '<a x="' * 20000, "<a x='\"" * 20000, "<td><p>" * 10000, f"{nested}<p>{'word ' * 2000}"]
+    for source in sources:
+        begin = time.monotonic()
+        html.Page(source).text("no such path")
+        assert time.monotonic() - begin < 3, source[:40]
+
+
+def test_attributes_of_any_length_and_paths_of_any_depth():
+    long = "x" * 70000 + ">leak"
+    assert html.Page(f"""<div><p title="{long}">seen</p><p title='{long}'>too</p></div>""").text(None) == "seen\ntoo"
+    deep = lambda name: f"<div class={name}>" + "<div>" * 40 + f"<p>{'some words ' * 20}</p>" + "</div>" * 41
+    page = html.Page(deep("one") + deep("two") + "<p>end</p>")
+    assert len(set(page.paths)) == len(page.paths)
+
+
+def test_equal_votes_of_paths(spark):
+    """Of paths with as many pages, the one with more running text wins, then the greater digest: the same in any order."""
+    text = "running words of the page " * 12
+    rows = [(k, "http://h.net/", f"<div class={'ab'[k % 2]}><p>{text}</p></div><div class={'ba'[k % 2]}><p>{text}</p></div>") for k in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, two = ({tuple(r) for r in html.votes(f).collect()} for f in (frame, frame.orderBy(F.desc("page_id")).repartition(3)))
+    assert one == two and len(one) == 1
+
+
+def consensus_by_force(rows):
+    """The text of each page under its host's most frequent best path, counted plainly."""
+    hosts = {}
+    for _, url, source in rows:
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match(r"[^/?#]*", url.split("://", 1)[1])[0]) if url and "://" in url else ""
+        if found := html.Page(source or "").vote():
+            seen = hosts.setdefault(host, {}).setdefault(found[0], [0, 0])
+            seen[0] += 1
+            seen[1] += found[1]
+        yield host, None
+    yield {h: max((*v, p) for p, v in paths.items())[2] for h, paths in hosts.items()}, None
+
+
+def test_consensus_of_hosts_by_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    *hosts, (paths, _) = consensus_by_force(rows)
+    want = {i: html.Page(source or "").text(paths.get(host)) for (i, _, source), (host, _) in zip(rows, hosts, strict=True)}
+    assert {r.page_id: r.text for r in queries.op8_main_text(spark, SF).collect()} == want
+
+
 def test_pages_by_host(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.op8_main_text(spark, SF).collect()}
