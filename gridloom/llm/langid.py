@@ -5,10 +5,11 @@ machine for each pair of languages of that family (one against one) then picks t
 of margins. Features are byte n-grams (1 to 3) of the whole lower-cased text, hashed, as square roots of their shares.
 
 The models are fitted on a bounded, hash-ordered sample of labelled rows (``MAX_ROWS`` in all, at most
-``ROWS_PER_LANGUAGE`` a language); every row of the input is predicted. Labels are never inputs of a prediction.
+``ROWS_PER_LANGUAGE`` a language, and ``LEAST_ROWS`` of each language in any case); every language that has a labelled row
+is learned and every row of the input is predicted. Labels are never inputs of a prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text where no labelled
-row exists; one learned language is predicted for all others; repeated rows give repeated results; an empty table gives
+row exists; equal votes and margins give the first language by name; one learned language is predicted for all others; repeated rows give repeated results; an empty table gives
 an empty result; columns other than those named are ignored.
 """
 
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts
 
-#: Size of the hashed feature space and bounds of the training sample.
-DIMENSIONS, ROWS_PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 4096, 300, 4000, 200
+#: Size of the hashed feature space and bounds of the training sample: rows a language at most, rows in all, and rows a
+#: language at least where there are so many languages that these are more.
+DIMENSIONS, ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 4096, 300, 4000, 10
+#: Characters of a long text that are lower-cased, and bytes that are counted, at a time.
+PIECE = 1 << 18
 
 #: Families of ISO 639-1 codes (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -58,23 +62,43 @@ def _letters() -> np.ndarray:
 _CLEAN = _letters()
 
 
-def features(rows: list[str]) -> np.ndarray:
-    """One unit vector for each text (zero for a text without n-grams)."""
-    parts = [b" " + t.lower().encode() + b" " for t in rows]
+def _count(out: np.ndarray, parts: list[bytes], rows: list[int]) -> None:
+    """Add the n-grams that begin in ``parts`` (in all but their last two bytes) to the counts of their rows."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     data = _CLEAN[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
-    row = np.repeat(np.arange(len(parts), dtype=np.int64) * DIMENSIONS, sizes)
+    part = np.repeat(np.arange(len(parts), dtype=np.int64), sizes)
     one, two, three = data[:-2], data[1:-1], data[2:]
-    inside = (row[:-2] == row[2:]) & ~((one == 32) & (two == 32))
-    counts = np.zeros(len(parts) * DIMENSIONS, np.float32)
+    inside = (part[:-2] == part[2:]) & ~((one == 32) & (two == 32))
     grams = (one, one | (two << 8) | (1 << 24), one | (two << 8) | (three << 16) | (2 << 24))
-    where = row[:-2][inside]
+    where = part[:-2][inside] * DIMENSIONS
     shift = np.uint32(32 - int(DIMENSIONS).bit_length() + 1)
     for gram in grams:
         mixed = gram[inside].astype(np.uint32) * np.uint32(2654435761)
         mixed ^= mixed >> np.uint32(15)
-        counts += np.bincount(where + ((mixed * np.uint32(2246822519)) >> shift), minlength=len(counts))
-    out = np.sqrt(counts.reshape(len(parts), DIMENSIONS))
+        found = np.bincount(where + ((mixed * np.uint32(2246822519)) >> shift), minlength=len(parts) * DIMENSIONS)
+        out[rows] += found.reshape(len(parts), DIMENSIONS)
+
+
+def features(rows: list[str]) -> np.ndarray:
+    """One unit vector for each text (zero for a text without n-grams). Long texts are counted piece by piece."""
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    parts, of, held = [], [], 0
+    for i, text in enumerate(rows):
+        tail = b" "
+        for at in range(0, max(1, len(text)), PIECE):
+            own = tail + text[at : at + PIECE].lower().encode()
+            tail = own[-2:]
+            if at + PIECE >= len(text):
+                own += b" "
+            if held + len(own) > 4 * PIECE or of and of[-1] == i:  # a row stands once in a round
+                _count(out, parts, of) if parts else None
+                parts, of, held = [], [], 0
+            parts.append(own)
+            of.append(i)
+            held += len(own)
+    if parts:
+        _count(out, parts, of)
+    out = np.sqrt(out)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -163,10 +187,10 @@ def train(langs: list[str], x: np.ndarray) -> Model:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``labelled`` that have a language; the sample is bounded whatever their number."""
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return Model((), (), np.zeros((0, DIMENSIONS + 1), np.float32), (), np.zeros((0, DIMENSIONS + 1), np.float32))
-    most = max(1, min(ROWS_PER_LANGUAGE, MAX_ROWS // len(counts)))
+    most = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, MAX_ROWS // len(counts)))
     # An id's hash decides; of each language about twice the rows that are wanted pass, and the first of them stay.
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     bound = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, (2 * most + 50) / n) * (1 << 30)))])
@@ -192,7 +216,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, lang_pred, score`` for every row; no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: MAX_LANGUAGES and DIMENSIONS bound it
+    shared = df.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers for each language and each pair of one family
     id_type = dict(df.dtypes)[id_col]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -475,6 +475,47 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_equal_votes_give_the_first_language():
+    width = langid.DIMENSIONS + 1
+    model = langid.Model(("af", "da", "de"), ("germanic",), np.zeros((1, width), np.float32), ((0, 1), (0, 2), (1, 2)), np.zeros((3, width), np.float32))
+    assert model.predict(["some text", "123", ""])[0] == ["af", "und", "und"]
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j % 7)}" for j in range(i % 5, 40)), f"x-{k:03d}") for k in range(230) for i in range(k * 3, k * 3 + 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 230
+
+
+def features_by_force(text):
+    data, counts = [b if b > 127 or chr(b).isalpha() else 32 for b in b" " + text.lower().encode() + b" "], np.zeros(langid.DIMENSIONS)
+    for i in range(len(data) - 2):
+        if data[i] != 32 or data[i + 1] != 32:
+            for gram in (data[i], data[i] | data[i + 1] << 8 | 1 << 24, data[i] | data[i + 1] << 8 | data[i + 2] << 16 | 2 << 24):
+                mixed = gram * 2654435761 & 0xFFFFFFFF
+                counts[((mixed ^ mixed >> 15) * 2246822519 & 0xFFFFFFFF) >> 20] += 1
+    return np.sqrt(counts) / max(1e-9, np.sqrt(counts.sum()))
+
+
+def test_features_by_force_and_of_long_texts(monkeypatch):
+    rng = random.Random(4)
+    rows = ["", " ", "a", "Ünï  cödé", *(pick(rng, ["a", "B", " ", "é", "漢", "1", "word"], 60) for _ in range(40))]
+    want = np.stack([features_by_force(t) for t in rows])
+    assert np.allclose(langid.features(rows), want, atol=1e-5)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert np.allclose(langid.features(rows), want, atol=1e-5)
+
+
+def test_memory_of_a_very_long_text(monkeypatch):
+    import tracemalloc
+
+    text = "some words in a row " * (1 << 20)
+    tracemalloc.start()
+    langid.features([text])
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(text)
+    tracemalloc.stop()
+
+
 def test_language_odd_rows(spark):
     labelled = spark.createDataFrame([(k, t, g) for k in range(30) for t, g in ((f"the house {k} and the street", "en"), (f"das haus {k} und die straße", "de"), (f"la maison {k} et la rue", "fr"), (f"la casa {k} y la calle", "es"), ("?", None))], "doc_id long, text string, lang string")
     model = langid.fit(labelled)
