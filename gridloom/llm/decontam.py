@@ -32,8 +32,8 @@ MASKS = ("110110101", "1110010011", "101001100101", "11010001011", "110010101000
 SHORTEST, IDENTITY, LEAST_MATCHES = 5, 0.8, 13
 #: Items of fewer words are searched for every accepted overlap.
 FULL_SEARCH = 15
-#: Hits closer than this many words make one run; a run carries this many words on either side.
-GAP, REACH = 16, 64
+#: Hits closer than this many words make one run; a run carries as many words on either side as the longest item has.
+GAP = 16
 
 _LOWER = lower_table()
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -111,6 +111,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = F.expr("octet_length(words) div 8")
     sizes = items.where((size >= SHORTEST) & (size < FULL_SEARCH)).select(size).distinct().collect()  # fewer than FULL_SEARCH
     short = tuple(sorted({part(int(r[0])) for r in sizes}))
+    reach = int(items.agg(F.max(size)).first()[0] or 0)
     kind = dict(documents.dtypes)[id_col]
 
     def hits(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -132,7 +133,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows, begin, words, seed_hash, seed_at = [], [], [], [], []
         for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
             row = owner[a]
-            low, high = max(first[row], at[a] - REACH), min(first[row + 1], int((at[a:b] + spans[a:b]).max()) + REACH)
+            low, high = max(first[row], at[a] - reach), min(first[row + 1], int((at[a:b] + spans[a:b]).max()) + reach)
             rows.append(row)
             begin.append(low - first[row])
             words.append(hashes[low:high].tobytes())

@@ -451,6 +451,15 @@ def test_short_items_are_found_whatever_word_is_exchanged(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, i) for d, i, _ in docs if i}
 
 
+def test_long_overlaps_with_hits_on_one_side_only(spark):
+    """A stretch of four matching words in five has no hit, however long; one hit at its end must show all of it."""
+    item = [f"w{k}" for k in range(400)]
+    doc = [w if k % 5 else f"x{k}" for k, w in enumerate(item[:380])] + item[380:]
+    found = decontam.overlaps(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    (row,) = found.collect()
+    assert row.n_words >= 390 and row.doc_word + row.n_words == 400
+
+
 def test_decontamination_query_and_odd_rows(spark):
     low = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     items = [(r.item_id, low(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
