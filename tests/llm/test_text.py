@@ -366,27 +366,49 @@ def test_bpe_query_and_odd_rows(spark):
     assert bpe.encode_documents(odd(spark).limit(0), RANKS, PATTERN).count() == 0
 
 
-def test_token_counts_are_the_librarys(spark):
+def test_pieces_of_texts_are_the_librarys():
     own = tokens.counter(TOKENIZER)
-    texts = _texts(random.Random(3), 3000)
-    want = [len(e.ids) for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert own.totals(texts).tolist() == want
-    assert own.totals(["a" * 20000, " " * 20000 + "x"]).tolist() == [len(own.tokenizer.model.tokenize("a" * 20000)), 20000]
+    texts = [*_texts(random.Random(3), 3000), "a" * 20000, " " * 20000 + "x"]
+    for text in texts:
+        found, special = own.split(text)
+        assert sum(own.count(found)) + special == len(own.tokenizer.encode(text, add_special_tokens=False).ids)
+    with pytest.raises(ValueError):
+        tokens.PieceCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize(("head", "held"), [(1 << 18, 1 << 19), (0, 5), (40, 1)])
+def test_token_counts_are_the_librarys(spark, monkeypatch, head, held):
+    """Whatever part of the pre-tokens is broadcast, and however often workers pass on what they hold."""
+    monkeypatch.setattr(tokens, "HEAD", head)
+    monkeypatch.setattr(tokens, "HELD", held)
+    own = tokens.counter(TOKENIZER).tokenizer
+    rows = [*enumerate(_texts(random.Random(9), 300)), (0, "same id"), (0, "same id"), (None, "no id"), (300, "x" * 9000), (301, None), (302, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in tokens.count_tokens(frame, TOKENIZER, limit=20).collect())
+    counts = [len(own.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+    assert got == Counter((i, len((t or "").encode()), n, n > 20) for (i, t), n in zip(rows, counts, strict=True))
+
+
+def test_token_count_query_and_odd_rows(spark):
+    own = tokens.counter(TOKENIZER).tokenizer
     rows = {r.doc_id: r.text for r in sample(spark).collect()}
-    for r in queries.op10_token_counts(spark, SF).collect():
-        n = len(own.tokenizer.encode(rows[r.doc_id], add_special_tokens=False).ids)
+    found = queries.op10_token_counts(spark, SF)
+    assert "Join" in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        n = len(own.encode(rows[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(rows[r.doc_id].encode()), n, n > 512)
     assert tokens.count_tokens(odd(spark), TOKENIZER).count() == len(ODD)
     assert tokens.count_tokens(odd(spark).limit(0), TOKENIZER).count() == 0
-    with pytest.raises(ValueError):
-        tokens.Counter(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_token_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_PIECES", 10)
-    own = tokens.Counter(TOKENIZER)
-    texts = [f"number {k} of many" for k in range(50)]
-    assert own.totals(texts).tolist() == [len(e.ids) for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def test_frequent_pieces_are_within_bounds(spark, monkeypatch):
+    rows = [(f"p{k}", 1 << k // 3, 1) for k in range(30)] + [("long" * 1000, 1 << 20, 9)]
+    frame = spark.createDataFrame(rows, "piece string, n long, tokens long")
+    assert len(tokens.head_of(frame)) == 31
+    monkeypatch.setattr(tokens, "HEAD", 7)
+    assert set(tokens.head_of(frame)) == {"long" * 1000, *(f"p{k}" for k in range(24, 30))}
+    monkeypatch.setattr(tokens, "HEAD_BYTES", 3000)
+    assert tokens.head_of(frame) == {}
 
 
 # Decontamination.
