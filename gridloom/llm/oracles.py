@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from . import decontam, urls
-from .license import BLOCK, STRIDE, TEMPLATES
+from .license import TEMPLATES
 
 
 def _values(rows: list[tuple]) -> str:
@@ -18,19 +16,18 @@ def license_sql() -> str:
     members, steps, names = [], [], []
     for tid, t in enumerate(TEMPLATES):
         words = t.words.split()
-        n = len(set(words))
-        names.append((tid, t.label, t.base, t.phrase, n, max(1, ceil(t.share * n - 1e-9)), len(words)))
-        members += [(tid, w) for w in sorted(set(words))]
+        names.append((tid, t.label, t.base, t.phrase, len(t.tokens), t.need, len(words), t.stride))
+        members += [(tid, w, t.stride) for w in t.tokens]
         steps += [(tid, w, k) for k, w in enumerate(words)]
     return f"""
 WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words FROM l),
 e AS (SELECT doc_id, unnest(w) AS tok, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos FROM l),
-t AS (SELECT * FROM {_values(names)} x(tid, label, base, phrase, n, need, size)),
-m AS (SELECT e.doc_id, m.tid, e.tok, e.pos // {STRIDE} - o AS block FROM e JOIN {_values(members)} m(tid, tok) ON m.tok = e.tok, (VALUES (0), (1)) s(o)),
+t AS (SELECT * FROM {_values(names)} x(tid, label, base, phrase, n, need, size, stride)),
+m AS (SELECT e.doc_id, m.tid, e.tok, e.pos // m.stride - o AS block FROM e JOIN {_values(members)} m(tid, tok, stride) ON m.tok = e.tok, (VALUES (0), (1)) s(o)),
 c AS (SELECT doc_id, tid, block, count(DISTINCT tok) AS overlap FROM m WHERE block >= 0 GROUP BY 1, 2, 3),
 f AS (SELECT c.doc_id, c.tid, max(overlap / CAST(t.n AS DOUBLE)) AS share FROM c JOIN t ON t.tid = c.tid JOIN d ON d.doc_id = c.doc_id
-  WHERE overlap >= t.need AND least(d.n_words - block * {STRIDE}, {BLOCK}) >= t.need GROUP BY 1, 2),
+  WHERE overlap >= t.need AND least(d.n_words - block * t.stride, 2 * t.stride) >= t.need GROUP BY 1, 2),
 s AS (SELECT e.doc_id, p.tid, e.pos - p.k AS place, count(*) AS hit FROM e JOIN {_values(steps)} p(tid, tok, k) ON p.tok = e.tok GROUP BY 1, 2, 3),
 h AS (SELECT s.doc_id, t.label, t.base, s.place, CAST(1 AS DOUBLE) AS share FROM s JOIN t ON t.tid = s.tid AND t.phrase AND s.hit = t.size
   UNION ALL SELECT f.doc_id, t.label, t.base, NULL, f.share FROM f JOIN t ON t.tid = f.tid AND NOT t.phrase),

@@ -221,6 +221,43 @@ def test_license_containment(spark):
         assert ("bsd-grant" in got[k]) == (n >= need)
 
 
+def test_whole_license_texts_with_changes(spark):
+    """A text with an eighth of its tokens replaced is found at any place; one with a half replaced is not."""
+    rng, rows = random.Random(12), []
+    for label in ("mit-text", "bsd-text", "isc-text", "zlib-text", "apache-header", "gpl-header"):
+        template = next(t for t in license.TEMPLATES if t.label == label)
+        for share in (0.12, 0.5):
+            gone = set(rng.sample(template.tokens, int(share * len(template.tokens))))
+            body = [w for w in template.words.split() if w not in gone]
+            rows.append((len(rows), " ".join(["filler"] * rng.randint(0, 700) + body + ["after"] * rng.randint(0, 700)), label, share < 0.2))
+    got = {r.doc_id: r.labels.split(",") for r in license.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [label in got[k] for k, _, label, _ in rows] == [want for *_, want in rows]
+
+
+def test_each_filter_leaves_fewer_candidates_and_no_match_out(spark):
+    rng = random.Random(13)
+    vocabulary = sorted({w for t in license.TEMPLATES for w in t.tokens})
+    texts = [rng.choices([*vocabulary, "filler", "other"], k=rng.randint(1, 60)) for _ in range(150)]
+    texts += [rng.sample(t.tokens, rng.randint(len(t.tokens) // 2, len(t.tokens))) for t in license.TEMPLATES for _ in range(8)]
+    rows = [(k, len(t), [(i, w) for i, w in enumerate(t)]) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "rid long, n_words long, toks array<struct<pos: long, tok: string>>")
+    order = license.frequency_order(frame.select(F.col("toks.tok").alias("w")), license.TEMPLATES)
+    blocks = license.blocks_of(frame.select("rid", "n_words", F.inline("toks")), license.TEMPLATES, order)
+    met = license.candidates(blocks, license.TEMPLATES, order)
+    of_length = license.long_enough(met)
+    far = of_length.where("left >= need")
+    kept = license.contained(blocks, license.TEMPLATES, order)
+    every = sum(blocks.where(F.col("stride") == t.stride).count() for t in license.TEMPLATES)
+    assert every > met.count() > of_length.count() > far.count() > kept.count() > 0
+    want = Counter()
+    for k, t in enumerate(texts):
+        for tid, template in enumerate(license.TEMPLATES):
+            for at in range(0, len(t), template.stride):
+                share = len(set(t[at : at + 2 * template.stride]) & set(template.tokens)) / len(template.tokens)
+                want[k, tid] += share * len(template.tokens) >= template.need - 1e-9
+    assert Counter((r.rid, r.tid) for r in kept.collect()) == +want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_is_that_of_sql(spark, name):
     from tests.compare import assert_same
