@@ -10,7 +10,7 @@ frame whose histogram moves more than the local mean by three deviations and by
 
 Defined cases: null text is the empty text, whose payload is 192 spaces; equal texts give equal bytes; an empty table
 gives an empty result; columns other than id and text are ignored. A file is limited to 4 GB, as RIFF is; frames with
-restart intervals or progressive coding raise ``ValueError``.
+restart intervals or progressive coding raise ``ValueError`` (``media_clips`` reports it in the row).
 """
 
 from __future__ import annotations
@@ -42,6 +42,33 @@ DC_COUNTS, DC_SYMBOLS = (0, 0, 6, 2, 1, *[0] * 11), (3, 4, 5, 6, 7, 2, 1, 0, 8)
 AC_COUNTS, AC_SYMBOLS = (1, *[0] * 15), (0,)
 
 
+def _run_sizes(*first: int) -> tuple[int, ...]:
+    """All symbols of AC terms: those of the short codes, then the others in ascending order."""
+    every = {0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}
+    return (*first, *sorted(every - {*first}))
+
+
+#: The tables that JPEG lists as typical, for luminance and colour. Motion-JPEG frames may leave them out.
+TYPICAL_TABLES = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), tuple(range(12))),
+    0x10: (
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        _run_sizes(
+            0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42,
+            0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+        ),
+    ),
+    0x11: (
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        _run_sizes(
+            0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1,
+            0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+        ),
+    ),
+}
+
+
 def _codes(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """Canonical (code, length, symbol)."""
     out, code, at = [], 0, 0
@@ -178,12 +205,14 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
         table = np.frombuffer(data, "<u4", (index[1] - index[0]) // 16 * 4, index[0]).reshape(-1, 4)
         video = table[(table[:, 0] >> 16) == struct.unpack("<H", b"dc")[0]]
         base = movi[0]
-        if len(video) and data[base + video[0, 2] : base + video[0, 2] + 4] != data[index[0] : index[0] + 4]:
+        video = video[video[:, 0] == video[0, 0]] if len(video) else video  # the first stream of pictures
+        if len(video) and data[base + int(video[0, 2]) : base + int(video[0, 2]) + 4] != video[0, :1].tobytes():
             base = 0  # offsets from the start of the file are allowed too
         for at, size in video[:, 2:].tolist():
             frames.append(data[base + at + 8 : base + at + 8 + size])
     else:
-        frames = [data[s:e] for name, s, e in _chunks(data, movi[0] + 4, movi[1]) if name[2:] == b"dc"]
+        found = [(name, s, e) for name, s, e in _chunks(data, movi[0] + 4, movi[1]) if name[2:] == b"dc"]
+        frames = [data[s:e] for name, s, e in found if name == found[0][0]]
     return frames, ms
 
 
@@ -202,9 +231,9 @@ class Head:
 
 
 def _parse_head(data: bytes) -> Head:
-    at, quant, tables, parts, width, height = 2, {}, {}, {}, 0, 0
+    at, quant, tables, parts, width, height = 2, {}, dict(TYPICAL_TABLES), {}, 0, 0
     while True:
-        if data[at] != 0xFF:
+        if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("a JPEG marker is missing")
         kind, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body, at = data[at + 4 : at + 2 + length], at + 2 + length
@@ -223,7 +252,7 @@ def _parse_head(data: bytes) -> Head:
             parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
         elif kind == 0xDA:
             break
-        elif kind == 0xDD or 0xC2 <= kind <= 0xCF:
+        elif kind == 0xDD and any(body) or 0xC2 <= kind <= 0xCF:
             raise ValueError("only baseline frames without restart intervals are read")
     scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
     across, down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
@@ -345,12 +374,16 @@ def pixels(frame: bytes) -> np.ndarray:
 
 
 def dc_planes(frames: list[bytes]) -> np.ndarray:
-    """Samples (frames, blocks) of one-component frames of one size: the mean grey of each block."""
+    """Samples (frames, blocks) of frames of one geometry: the mean brightness of each block (of the first component)."""
     if not frames:
         return np.zeros((0, FRAME_BYTES), np.uint8)
     head = _head(frames[0])
-    step = dict(head.quant)[head.plan[0][3]][0]
-    return np.clip(np.rint(np.stack(decode_frames(frames)) * (step / 8)) + 128, 0, 255).astype(np.uint8)
+    if any(_head(f).plan != head.plan or _head(f).units != head.units for f in frames):
+        raise ValueError("the frames differ in size")
+    bright = np.tile([part == 0 for part, *_ in head.plan], head.units)
+    terms = np.stack([t[bright] for t in decode_frames(frames)])
+    steps = np.array([dict(_head(f).quant)[head.plan[0][3]][0] for f in frames])  # frames may differ in quality
+    return np.clip(np.rint(terms * (steps[:, None] / 8)) + 128, 0, 255).astype(np.uint8)
 
 
 def shots(planes: np.ndarray) -> list[tuple[int, int, float]]:
@@ -385,10 +418,20 @@ def store(text: str) -> bytes:
     return write_avi(encode_frames(np.frombuffer(payload, np.uint8).reshape(-1, FRAME_BYTES)))
 
 
+#: The type of a file's timed clips, for Spark and Arrow.
+CLIPS = "array<struct<first_frame:long,end_frame:long,start_ms:double,end_ms:double,moved:double>>"
+_CLIPS = pa.list_(pa.struct([("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("moved", pa.float64())]))
+
+
+def _timed(found: list[tuple[int, int, float]], ms: float) -> list[dict]:
+    """Shots with their times, for frames of ``ms`` milliseconds."""
+    return [{"first_frame": a, "end_frame": b, "start_ms": a * ms, "end_ms": b * ms, "moved": m} for a, b, m in found]
+
+
 def _fields(id_type: str, id_col: str) -> str:
     return (
         f"`{id_col}` {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, clips array<struct<first_frame:long,end_frame:long,start_ms:double,end_ms:double,moved:double>>"
+        f"media_sha256 string, feature string, clips {CLIPS}"
     )
 
 
@@ -422,17 +465,39 @@ def media_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             values = (
                 size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(),
                 f"{n}:" + ",".join(str(a) for a, _, _ in found),
-                [{"first_frame": a, "end_frame": b, "start_ms": a * ms, "end_ms": b * ms, "moved": m} for a, b, m in found],
+                _timed(found, ms),
             )
             for k, v in zip(out, (*values, file) if keep_media else values, strict=True):
                 out[k].append(v)
-        clip = pa.list_(pa.struct([("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("moved", pa.float64())]))
-        kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "clips": clip, "media": pa.binary()}
+        kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "clips": _CLIPS, "media": pa.binary()}
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.string())) for k, v in out.items())], names)
 
     return map_batches(df.select(id_col, text_col), run, schema)
 
 
+def media_clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """``id_col, n_frames, clips, error`` of every row whose ``media_col`` holds the bytes of an AVI file.
+
+    A null file has no frames; one that cannot be read has none either, and ``error`` says why.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, clips, errors = [], [], []
+        for data in batch.column(1).to_pylist():
+            found, n, error = [], 0, None
+            try:
+                frames, ms = read_avi(data) if data is not None else ([], 0.0)
+                found, n = _timed(shots(dc_planes(frames)), ms), len(frames)
+            except (ValueError, KeyError, IndexError, struct.error) as e:
+                error = f"{type(e).__name__}: {e}"
+            counts.append(n)
+            clips.append(found)
+            errors.append(error)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(clips, _CLIPS), pa.array(errors, pa.string())], [id_col, "n_frames", "clips", "error"])
+
+    return map_batches(df.select(id_col, media_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_frames long, clips {CLIPS}, error string")
+
+
 def clip_rows(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One timed row for each shot of ``media_documents``."""
+    """One timed row for each shot of ``media_documents`` or ``media_clips``."""
     return media.select(id_col, F.posexplode("clips").alias("clip", "c")).select(id_col, "clip", "c.*")

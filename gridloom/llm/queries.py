@@ -22,8 +22,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a motion-JPEG AVI file, read back, with its shots."""
-    return media.media_documents(table(spark, sf_dir, "documents")).drop("clips")
+    """Every document as a motion-JPEG AVI file, read back, with its shots as timed clips."""
+    return media.media_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

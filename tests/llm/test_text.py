@@ -154,6 +154,84 @@ def test_avi_without_index_and_shots():
     assert media.shots(np.zeros((0, 192), np.uint8)) == []
 
 
+def plain_frame(samples, tables=True, colour=False):
+    """A baseline JPEG of flat blocks, coded bit by bit with JPEG's typical tables, which the frame may leave out."""
+    codes = lambda kind: {s: f"{c:0{n}b}" for c, n, s in media._codes(*media.TYPICAL_TABLES[kind])}
+    bits, last = "", {}
+    for k, v in enumerate(samples):
+        part = 1 if colour and k % 2 else 0
+        step = (int(v) - 128) - last.get(part, 0)
+        last[part] = int(v) - 128
+        size = abs(step).bit_length()
+        bits += codes(part)[size] + (f"{step if step >= 0 else step + (1 << size) - 1:0{size}b}" if size else "") + codes(0x10 + part)[0]
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    parts = 2 if colour else 1
+    head = b"\xff\xd8" + media._marker(0xDB, b"\0" + bytes([8] * 64)) + media._marker(0xDD, b"\0\0")
+    head += media._marker(0xC0, bytes([8, 0, 8, 0, 8 * len(samples) // parts, parts]) + b"".join(bytes([c + 1, 0x11, 0]) for c in range(parts)))
+    if tables:
+        head += b"".join(media._marker(0xC4, bytes([kind, *counts, *symbols])) for kind, (counts, symbols) in media.TYPICAL_TABLES.items())
+    return head + media._marker(0xDA, bytes([parts]) + b"".join(bytes([c + 1, c << 4 | c]) for c in range(parts)) + bytes([0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def avi_with_audio(frames, absolute=False):
+    """An AVI file whose index begins with an entry of sound; offsets from the movi list or the start of the file."""
+    movi, entries = [b"movi"], []
+    for k, f in enumerate(frames):
+        for name, body in ((b"01wb", bytes([k] * 7)), (b"00dc", f)):
+            entries.append((name, sum(map(len, movi)), len(body)))
+            movi.append(media._chunk(name, body))
+    base = 20 if absolute else 0
+    index = b"".join(name + np.array([16, at + base, size], "<u4").tobytes() for name, at, size in entries)
+    return media._chunk(b"RIFF", b"AVI " + media._chunk(b"LIST", b"".join(movi)) + media._chunk(b"idx1", index))
+
+
+def test_files_of_others(spark):
+    """Frames without Huffman tables, with colour, and files whose first stream is sound."""
+    rng = np.random.default_rng(6)
+    samples = rng.integers(0, 256, (5, 12)).astype(np.uint8)
+    for tables in (True, False):
+        assert (media.dc_planes([plain_frame(s, tables) for s in samples]) == samples).all()
+    assert (media.dc_planes([plain_frame(s, False, True) for s in samples]) == samples[:, ::2]).all()
+    assert [len(v) for _, v in media.TYPICAL_TABLES.values()] == [sum(c) for c, _ in media.TYPICAL_TABLES.values()]
+    frames = [plain_frame(s, False) for s in samples]
+    for absolute in (False, True):
+        assert media.read_avi(avi_with_audio(frames, absolute))[0] == frames
+    dark, light = plain_frame([40] * 12, False), plain_frame([200] * 12, False)
+    rows = [(1, avi_with_audio([dark] * 10 + [light] * 10)), (2, None), (3, b"not a file"), (4, avi_with_audio([])), (5, avi_with_audio([dark, plain_frame([1] * 6)])), (6, avi_with_audio([b"junk"]))]
+    got = media.media_clips(spark.createDataFrame([(i, bytearray(m) if m is not None else None, 0) for i, m in rows], "doc_id long, media binary, clips int"))
+    by_id = {r.doc_id: r for r in got.collect()}
+    assert [by_id[i].n_frames for i in range(1, 7)] == [20, 0, 0, 0, 0, 0] and [by_id[i].error is None for i in range(1, 7)] == [True, True, False, True, False, False]
+    assert [(r.doc_id, r.clip, r.start_ms, r.end_ms) for r in media.clip_rows(got).collect()] == [(1, 0, 0.0, 400.0), (1, 1, 400.0, 800.0)]
+
+
+def shots_by_force(planes):
+    bars = [Counter(int(v) * media.BINS // 256 for v in p) for p in planes]
+    moved = [sum(abs(a[k] - b[k]) for k in range(media.BINS)) // 2 for a, b in zip(bars, bars[1:], strict=False)]
+    cuts = []
+    for i, m in enumerate(moved):
+        near = moved[max(0, i - media.REACH) : i] + moved[i + 1 : i + 1 + media.REACH]
+        mean = sum(near) / max(1, len(near))
+        spread = math.sqrt(max(0, sum(v * v for v in near) / max(1, len(near)) - mean * mean))
+        if m > mean + media.DEVIATIONS * spread and m >= media.LEAST_MOVE * len(planes[0]):
+            cuts.append(i + 1)
+    edges = [0, *cuts, len(planes)]
+    return [(a, b, 0.0 if a == 0 else moved[a - 1] / len(planes[0])) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def test_shots_by_force(spark):
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        levels = rng.integers(0, 200, rng.integers(1, 6))
+        planes = np.concatenate([np.clip(v + rng.integers(0, rng.integers(2, 56), (rng.integers(1, 20), 192)), 0, 255) for v in levels]).astype(np.uint8)
+        assert media.shots(planes) == shots_by_force(planes)
+    texts = {r.doc_id: r.text for r in sample(spark).limit(60).collect()}
+    for r in queries.op2_media(spark, SF).where(F.col("doc_id").isin(list(texts))).collect():
+        want = shots_by_force(np.frombuffer(media.payload_of(texts[r.doc_id])[0], np.uint8).reshape(-1, 192))
+        assert [(c.first_frame, c.end_frame, c.moved, c.start_ms) for c in r.clips] == [(a, b, m, 40.0 * a) for a, b, m in want]
+        assert r.feature == f"{want[-1][1]}:" + ",".join(str(a) for a, *_ in want)
+
+
 def test_media_query_and_odd_rows(spark):
     got = media.media_documents(odd(spark), keep_media=True)
     rows = got.collect()
