@@ -56,6 +56,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.comp
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 
+#: Segments of a path that the SQL of the url filter has levels for; the operator has as many as the deepest path.
+URL_DEPTH = 3
+
+
 def url_sql(rules: list[tuple[str, str]]) -> str:
     """Host, path, rule, verdict, template and purity of every page, level by level."""
     fits = []
@@ -65,8 +69,8 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
     of_rule = "CASE " + " ".join(f"WHEN {test} THEN '{rule}'" for test, rule in fits) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules) + " END"
     segment = lambda k: f"regexp_replace(list_extract(parts, {k}), '{urls.VARIABLE}', '*', 'g')"
-    general = [f"coalesce(CASE WHEN length(list_extract(parts, {k})) > {urls.LONG_SEGMENT} OR regexp_matches({segment(k)}, '{urls.WILD}') THEN '*' ELSE {segment(k)} END, '')" for k in range(1, urls.DEPTH + 1)]
-    g = [f"g{k}" for k in range(urls.DEPTH)]
+    general = [f"coalesce(CASE WHEN regexp_matches({segment(k)}, '{urls.WILD}') THEN '*' ELSE {segment(k)} END, '')" for k in range(1, URL_DEPTH + 1)]
+    g = [f"g{k}" for k in range(URL_DEPTH)]
     m, names = f"CAST({urls.SMOOTHING} AS DOUBLE)", ", ".join(g)
     out = [
         "u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
@@ -78,17 +82,16 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
         f"hosts AS (SELECT host, (sum(b) + {m} * max(total.p)) / (sum(a) + sum(b) + {m}) AS purity FROM leaves, total GROUP BY host)",
         f"n0 AS (SELECT leaves.host, {names}, n, a, b, leaves.host AS key, purity FROM leaves JOIN hosts ON hosts.host = leaves.host)",
     ]
-    for k in range(urls.DEPTH):
+    for k in range(URL_DEPTH):
         noise = f"sqrt(up * (1 - up) / (a + b + {m}))"
         out += [
             f"c{k} AS (SELECT key, g{k} AS seg, sum(n) AS n, sum(a) AS a, sum(b) AS b, max(purity) AS up FROM n{k} GROUP BY 1, 2)",
-            f"w{k} AS (SELECT *, count(*) OVER (PARTITION BY key) AS fan FROM c{k})",
-            f"b{k} AS (SELECT *, CASE WHEN seg = '' THEN '' WHEN (fan > {urls.FANOUT} AND n < {urls.CHILD_ROWS}) OR abs((b + {m} * up) / (a + b + {m}) - up) <= {urls.DEVIATIONS} * {noise} THEN '*' ELSE seg END AS branch FROM w{k})",
+            f"b{k} AS (SELECT *, CASE WHEN seg = '' THEN '' WHEN abs((b + {m} * up) / (a + b + {m}) - up) <= {urls.DEVIATIONS} * {noise} THEN '*' ELSE seg END AS branch FROM c{k})",
             f"p{k} AS (SELECT key, branch, (sum(b) + {m} * max(up)) / (sum(a) + sum(b) + {m}) AS next FROM b{k} GROUP BY 1, 2)",
             f"n{k + 1} AS (SELECT x.host, " + ", ".join(f"x.{c}" for c in g) + f", x.n, x.a, x.b, CASE WHEN v.branch = '' THEN x.key ELSE x.key || '/' || v.branch END AS key, CASE WHEN v.branch = '' THEN x.purity ELSE p{k}.next END AS purity "
             f"FROM n{k} x JOIN b{k} v ON v.key = x.key AND v.seg = x.g{k} JOIN p{k} ON p{k}.key = v.key AND p{k}.branch = v.branch)",
         ]
-    last = f"n{urls.DEPTH}"
+    last = f"n{URL_DEPTH}"
     on = " AND ".join(f"t.{c} = r.{c}" for c in ("host", *g))
     return "WITH " + ",\n".join(out) + f"""
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN t.purity > {urls.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, t.key AS template, round(t.purity, 9) AS purity

@@ -1,7 +1,8 @@
 """URL filters from a path-template tree, in DataFrame functions only.
 
-Per host, path segments that carry numbers or long identifiers become wildcards. Branches of one parent whose labelled block rate does not differ from the parent's (a
-two-sided test) merge into one wildcard branch. A template's purity is the share of blocked rows among its labelled
+Per host, numbers and identifiers in path segments become wildcards. The tree has a level for each segment of the deepest
+path. Branches of one parent whose labelled block rate does not differ from the parent's (a two-sided test) merge into
+one wildcard branch, however many or long they are. A template's purity is the share of blocked rows among its labelled
 rows, smoothed towards its parent's; templates above ``REJECT_AT`` are rejected. Labels come from rules, which also
 decide the rows that they fit.
 
@@ -17,15 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Levels that the SQL has; the tree here has as many as the deepest path.
-DEPTH = 3
-#: In the SQL, a parent with more children than this turns children of fewer rows than ``CHILD_ROWS`` into a wildcard.
-FANOUT, CHILD_ROWS = 40, 8
 #: Weight of the parent's rate, deviations that tell a branch from its parent, and the purity that rejects.
 SMOOTHING, DEVIATIONS, REJECT_AT = 4.0, 2.0, 0.5
 
 #: What varies in a segment, and what a segment is once nothing else is left (an extension may stay).
-VARIABLE, WILD, LONG_SEGMENT = r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{8,}|[0-9]+", r"^\**(\.\w{1,5})?$", 40
+VARIABLE, WILD = r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{8,}|[0-9]+", r"^\**(\.\w{1,5})?$"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,9 +53,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def general(segment: Column) -> Column:
-    """A segment with its variable part as a wildcard: numbers, hexadecimal and long mixed identifiers."""
+    """A segment with its variable parts as wildcards: numbers and hexadecimal identifiers."""
     plain = F.regexp_replace(segment, VARIABLE, "*")
-    return F.when((F.length(segment) > LONG_SEGMENT) | plain.rlike(WILD), F.lit("*")).otherwise(plain)
+    return F.when(plain.rlike(WILD), F.lit("*")).otherwise(plain)
 
 
 def _level(nodes: DataFrame, k: int) -> DataFrame:
