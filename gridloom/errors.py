@@ -11,6 +11,10 @@ class GridloomWarning(UserWarning):
     """Base of all warnings here."""
 
 
+class NoSharedFolder(GridloomError):
+    """A cluster without a folder for written intermediates."""
+
+
 # Tiling and filters.
 class UnknownLevelError(GridloomError):
     """A pyramid level that the pipeline does not cover."""

@@ -24,15 +24,29 @@ def nearest_prototype(vector: Column, prototypes: list[list[float]]) -> Column:
     return out
 
 
-def predict(df: DataFrame, vector: str, model: Model, name: str = "label", kind: str = "int") -> DataFrame:
-    """``df`` with the model's prediction for each vector, a batch at a time; ``kind`` may be an array type."""
+def predict(df: DataFrame, vector: str, model: Model, name: str = "label", kind: str = "int", shape: tuple[int, ...] | None = None, prepare: Model | None = None) -> DataFrame:
+    """``df`` with the model's prediction for each vector, a batch at a time; ``kind`` may be an array type.
+
+    A vector is an array of numbers or a string of bytes; ``shape`` is that of one, ``prepare`` changes a batch first.
+    Rows without a vector have no prediction.
+    """
     wide = kind.startswith("array")
 
+    def one(v: object) -> np.ndarray:
+        raw = np.frombuffer(v, np.uint8) if isinstance(v, bytes | bytearray | memoryview) else np.asarray(v, float)
+        return raw.reshape(shape) if shape else raw.astype(float)
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
-            out = model(np.stack([np.asarray(v, float) for v in part])) if len(part) else np.empty(0)
-            yield pd.Series(list(out) if wide else out)
+            out = pd.Series([None] * len(part), dtype=object)
+            there = [i for i, v in enumerate(part) if v is not None]
+            if there:
+                stack = np.stack([one(part.iloc[i]) for i in there])
+                found = np.asarray(model(prepare(stack) if prepare else stack))
+                for i, value in zip(there, found.reshape(len(there), -1) if wide else found.tolist(), strict=True):
+                    out.iloc[i] = value
+            yield out
 
     return df.withColumn(name, run(F.col(vector)))
 
@@ -76,9 +90,9 @@ def painted(labels: DataFrame, context: int) -> DataFrame:
     return rows.select("image", (F.col("i") + F.col("a")).alias("y"), (F.col("j") + F.col("b")).alias("x"), *[c for c in labels.columns if c not in ("image", "i", "j")])
 
 
-def extract_features(patches: DataFrame, pixels: str, model: Model, name: str = "features") -> DataFrame:
-    """Patches with the model's feature vector of their pixels."""
-    return predict(patches, pixels, model, name, "array<double>")
+def extract_features(patches: DataFrame, pixels: str, model: Model, name: str = "features", shape: tuple[int, ...] | None = None, prepare: Model | None = None) -> DataFrame:
+    """Patches with the model's feature vector of their pixels (bytes or numbers); a map of features is laid out flat."""
+    return predict(patches, pixels, model, name, "array<double>", shape, prepare)
 
 
 def coarse_patches(patches: DataFrame, context: int, model: Model, channels: int = 3) -> DataFrame:

@@ -45,8 +45,8 @@ def spanning_forest(edges: DataFrame, keys: Keys = ()) -> DataFrame:
 def merge_tree(forest: DataFrame, sizes: DataFrame, keys: Keys = ()) -> DataFrame:
     """The merge tree of a spanning forest: ``keys, node, left, right, weight, size``, a row a merge.
 
-    Edges are taken by weight (then ends). Inner nodes are numbered from twice the number of edges on. ``sizes`` has
-    keys, node, size of the leaves. Merging is a sequence, so each graph is one Arrow group; graphs run in parallel.
+    Edges are taken by weight (then ends). Inner nodes are numbered from twice the number of edges on, or after the
+    largest leaf where leaves have such numbers. ``sizes`` has keys, node, size of the leaves. Merging is a sequence, so each graph is one Arrow group; graphs run in parallel.
     """
     keys = list(keys)
     if not keys:
@@ -68,7 +68,7 @@ def merge_tree(forest: DataFrame, sizes: DataFrame, keys: Keys = ()) -> DataFram
                 top[p] = n
             return n
 
-        out, new = [], 2 * len(edges)
+        out, new = [], max(2 * len(edges), int(max(leaves["node"].max(), edges["src"].max(), edges["dst"].max())) + 1) if len(edges) else 0
         for a, b, w in zip(edges["src"], edges["dst"], edges["weight"], strict=True):
             ra, rb = root(a), root(b)
             top[ra] = top[rb] = new

@@ -6,16 +6,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, UnknownLevelError
-from ..functions import paths as P
 from ..operators import tiles
 from ..operators.predicates import image_predicate
 from ..operators.tiles import Filter, Pair
 from ..sources import discovery, patches, slides
+from ..sources.slides import Opener
+from ..storage import written
 
 
-def pixel_filter(filters: Sequence, size: tuple[int, int], folder: str = "", backend: str = "procedural") -> Filter:
+def pixel_filter(filters: Sequence, size: tuple[int, int], folder: str = "", backend: str | Opener = "procedural") -> Filter:
     """A table filter that reads each patch's pixels and applies image filters (names or callables) to them."""
     keep = image_predicate(list(filters), size[1], size[0])
 
@@ -39,7 +41,7 @@ class Patchifier:
     filters: list[Filter] = field(default_factory=list)
     mask: Callable[[DataFrame], DataFrame] | None = None
     silence: int = 2
-    backend: str = "procedural"
+    backend: str | Opener = "procedural"
 
     def __post_init__(self) -> None:
         if self.silence not in (0, 1, 2):
@@ -58,8 +60,11 @@ class Patchifier:
         return out
 
     def patchify_folder(self, spark: SparkSession, folder: str, out: str | None = None, extensions: Sequence[str] = (".mrxs",), recurse: bool = True, folders: Sequence[str] | None = None) -> DataFrame:
-        """Patches of all slides of a folder, in one job; written (patch files, and images at silence 0) if asked."""
-        return _written(self.patchify(_slides(spark, folder, extensions, recurse, folders, self.backend)), out, self.silence, self.backend)
+        """Patches of all slides of a folder, in one job; ``slide`` is the path below the folder.
+
+        Written, if asked: patch files, images at silence 0, and the slides that could not be opened, with the errors.
+        """
+        return _of_folder(self, spark, folder, out, extensions, recurse, folders)
 
 
 @dataclass
@@ -74,7 +79,7 @@ class HierarchicalPatchifier:
     filters: object = None
     mask: Callable[[DataFrame], DataFrame] | None = None
     silence: int = 2
-    backend: str = "procedural"
+    backend: str | Opener = "procedural"
 
     def __post_init__(self) -> None:
         self.by_level = tiles.standard_filters(self.filters, self.top, self.low)
@@ -91,19 +96,23 @@ class HierarchicalPatchifier:
         return tiles.hierarchy(table, self.top, self.low, self.patch, self.interval, self.offset, self.mask(table) if self.mask else None, self.by_level)
 
     def patchify_folder(self, spark: SparkSession, folder: str, out: str | None = None, extensions: Sequence[str] = (".mrxs",), recurse: bool = True, folders: Sequence[str] | None = None) -> DataFrame:
-        return _written(self.patchify(_slides(spark, folder, extensions, recurse, folders, self.backend)), out, self.silence, self.backend)
+        """As ``Patchifier.patchify_folder``."""
+        return _of_folder(self, spark, folder, out, extensions, recurse, folders)
 
 
-def _slides(spark: SparkSession, folder: str, extensions: Sequence[str], recurse: bool, folders: Sequence[str] | None, backend: str) -> DataFrame:
-    files = discovery.get_files(spark, folder, extensions, recurse, folders)
-    names = [r["name"] for r in files.select(P.file_name(files["path"]).alias("name")).distinct().orderBy("name").toLocalIterator()]
-    return slides.slide_table(spark, names, backend)
+def folder_slides(spark: SparkSession, folder: str, extensions: Sequence[str], recurse: bool, folders: Sequence[str] | None, backend: str | Opener) -> DataFrame:
+    """The slides of a folder as ``slides.opened`` gives them, named by their path below it; each is opened once."""
+    files = discovery.get_files(spark, folder, extensions, recurse, folders).select(F.col("rel").alias("slide"), "path")
+    return written(slides.opened(files.repartition("slide"), backend), "slides")
 
 
-def _written(out: DataFrame, path: str | None, silence: int, backend: str) -> DataFrame:
+def _of_folder(settings: Patchifier | HierarchicalPatchifier, spark: SparkSession, folder: str, path: str | None, extensions: Sequence[str], recurse: bool, folders: Sequence[str] | None) -> DataFrame:
+    found = folder_slides(spark, folder, extensions, recurse, folders, settings.backend)
+    out = settings.patchify(slides.readable(found))
     if path is not None:
         patches.write_patches(out, f"{path}/patches")
-        if silence == 0:
-            slides.png_files(slides.with_pixels(out, "", backend)).write.parquet(f"{path}/images")
+        slides.unreadable(found).write.option("header", True).csv(f"{path}/unreadable")
+        if settings.silence == 0:
+            slides.png_files(slides.with_pixels(out, folder, settings.backend)).write.parquet(f"{path}/images")
     return out
 

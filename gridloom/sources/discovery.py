@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,16 @@ PATCH_FILE = "patches.csv"
 
 
 def _listed(spark: SparkSession, root: str, recurse: bool) -> DataFrame:
-    """``path`` (local ones without a scheme) and ``rel`` (below the root) of all files that are not hidden."""
+    """``path`` (local ones without a scheme) and ``rel`` (below the root) of all files that are not hidden.
+
+    The paths are those of Spark's file index, which has empty files too; the driver has them as one string.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower())
-    files = reader.load(root if recurse else f"{root.rstrip('/')}/*").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    found = reader.load(root if recurse else f"{root.rstrip('/')}/*")._jdf.inputFiles()
+    text = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", found)  # a line break in a name is encoded
+    listed = spark.createDataFrame(pa.table({"uri": pa.array(text.split("\n") if text else [], pa.string())}))
+    files = listed.select(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("path"))
+    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     files = files.withColumn("rel", F.regexp_replace(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})"), "^/", ""))
     return files.where(~P.hidden(F.col("rel")))

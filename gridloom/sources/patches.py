@@ -13,11 +13,14 @@ from ..functions import paths as P
 from ..schema import PATCHES
 
 
-def read_patches(spark: SparkSession, paths: str | Sequence[str], extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def read_patches(spark: SparkSession, paths: str | Sequence[str], extra: Sequence[tuple[str, str]] = (), file_name: str | None = None) -> DataFrame:
     """Patch files as one table, with ``slide_folder``; the word None at a root is null. ``extra`` are (name, type) of
-    label and prediction columns. Columns are found by header, in any order."""
+    label and prediction columns. Columns are found by header, in any order. With ``file_name``, the files of that name
+    at any depth below ``paths``."""
     schema = T.StructType([*PATCHES.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in extra)])
     raw = spark.read.option("header", True).option("nullValue", "None").option("enforceSchema", False)
+    if file_name is not None:
+        raw = raw.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
     names = raw.csv(paths if isinstance(paths, str) else list(paths)).columns
     known = {f.name: f for f in schema.fields}
     read = raw.schema(T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])).csv(paths if isinstance(paths, str) else list(paths))

@@ -1,13 +1,14 @@
 """Slide pyramids: an interface for readers, a procedural slide, pixel access per patch, and a Spark data source.
 
-A reader is any object with ``levels`` (width, height, downsample of each level) and ``read_region``. Readers of file
-formats are registered by name; pixels are read in the workers, slide by slide, with one open reader a worker.
+A reader is any object with ``levels`` (width, height, downsample of each level) and ``read_region``. What opens a path is
+given itself, or by the name under which it is in ``BACKENDS`` on the driver; it goes to the workers with the plan.
+Pixels are read there, slide by slide, with few open readers a worker. A slide is named by its path below the folder it
+was found in, so slides of one name in several folders stay apart.
 """
 
 from __future__ import annotations
 
 import struct
-import warnings
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -17,9 +18,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..errors import GridloomWarning
+from ..errors import UnknownMethodError
 from ..schema import SLIDES
 
 
@@ -55,37 +57,63 @@ class ProceduralSlide:
         return out
 
 
-#: Readers by name: each opens a path.
-BACKENDS: dict[str, Callable[[str], Reader]] = {"procedural": ProceduralSlide}
-_OPEN: dict[tuple[str, str], Reader] = {}
+Opener = Callable[[str], Reader]
 
+#: What opens a path, by name.
+BACKENDS: dict[str, Opener] = {"procedural": ProceduralSlide}
+_OPEN: dict[tuple[Opener, str], Reader] = {}
 
-def open_slide(path: str, backend: str = "procedural") -> Reader:
-    """An open reader, kept for the worker's life; an unknown backend warns and falls back to the first one."""
+
+def opener(backend: str | Opener) -> Opener:
+    """What opens a path under ``backend``; a name that is not registered is an error."""
+    if callable(backend):
+        return backend
     if backend not in BACKENDS:
-        warnings.warn(f"no backend {backend!r}; {next(iter(BACKENDS))} is used", GridloomWarning, stacklevel=2)
-        backend = next(iter(BACKENDS))
-    if (backend, path) not in _OPEN:
+        raise UnknownMethodError(f"no backend {backend!r} among {sorted(BACKENDS)}")
+    return BACKENDS[backend]
+
+
+def open_slide(path: str, backend: str | Opener = "procedural") -> Reader:
+    """An open reader, kept in this process for the next one who asks."""
+    key = opener(backend), path
+    if key not in _OPEN:
         if len(_OPEN) > 32:
             _OPEN.clear()
-        _OPEN[backend, path] = BACKENDS[backend](path)
-    return _OPEN[backend, path]
+        _OPEN[key] = key[0](path)
+    return _OPEN[key]
 
 
-def slide_table(spark: SparkSession, paths: Sequence[str], backend: str = "procedural") -> DataFrame:
-    """``schema.SLIDES`` rows of slides, opened in the workers; a slide that cannot be opened has none."""
+def opened(files: DataFrame, backend: str | Opener = "procedural") -> DataFrame:
+    """``schema.SLIDES`` rows and ``error`` of ``slide, path``, opened in the workers; a slide that cannot be opened has
+    one row, with the error in place of its levels."""
+    opens = opener(backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
+            rows: list[tuple] = []
+            for slide, path in zip(pdf["slide"], pdf["path"], strict=True):
                 try:
-                    rows += [(path.rsplit("/", 1)[-1], k, w, h, d) for k, (w, h, d) in enumerate(open_slide(path, backend).levels)]
-                except OSError as e:
-                    warnings.warn(f"{path}: {e}", GridloomWarning, stacklevel=1)
-            yield pd.DataFrame(rows, columns=SLIDES.names)
+                    rows += [(slide, k, w, h, d, None) for k, (w, h, d) in enumerate(open_slide(path, opens).levels)]
+                except Exception as e:  # noqa: BLE001 - whatever a reader of a file format raises is reported
+                    rows.append((slide, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*SLIDES.names, "error"]).astype({"level": "Int32", "width": "Int64", "height": "Int64", "downsample": "float64"})
+
+    return files.select("slide", "path").mapInPandas(run, T.StructType([*SLIDES.fields, T.StructField("error", T.StringType())]))
+
+
+def readable(found: DataFrame) -> DataFrame:
+    """The slides of ``opened`` that could be opened, as ``schema.SLIDES``."""
+    return found.where("error is null").drop("error")
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, SLIDES)
+
+def unreadable(found: DataFrame) -> DataFrame:
+    """``slide, error`` of the others."""
+    return found.where("error is not null").select("slide", "error")
+
+
+def slide_table(spark: SparkSession, paths: Sequence[str], backend: str | Opener = "procedural") -> DataFrame:
+    """``schema.SLIDES`` rows of some slides by path, named by their file; one that cannot be opened has none."""
+    return readable(opened(spark.createDataFrame([(p.rsplit("/", 1)[-1], p) for p in paths], "slide string, path string"), backend))
 
 
 def best_level(slides: DataFrame, downsample: float) -> DataFrame:
@@ -93,25 +121,30 @@ def best_level(slides: DataFrame, downsample: float) -> DataFrame:
     return slides.where(F.col("downsample") <= downsample).groupBy("slide").agg(F.max_by("level", "downsample").alias("level"))
 
 
-def with_pixels(patches: DataFrame, folder: str = "", backend: str = "procedural", size: tuple[int, int] | None = None) -> DataFrame:
-    """Patches with ``pixels`` (RGB bytes, row by row), read in the workers; patches that cannot be read are left out.
+def with_pixels(patches: DataFrame, folder: str = "", backend: str | Opener = "procedural", size: tuple[int, int] | None = None, errors: str | None = None) -> DataFrame:
+    """Patches with ``pixels`` (RGB bytes, row by row), read in the workers from the file ``slide`` below ``folder``.
+
+    Patches that cannot be read are left out; with ``errors``, they stay, without pixels, and a column of that name says why.
 
     Patches are dealt by slide and place, so a worker opens few slides and a large slide is read by many.
     """
     names = patches.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema.fields) + ", pixels binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema.fields) + ", pixels binary" + (f", `{errors}` string" if errors else "")
+    opens, base = opener(backend), folder.rstrip("/") + "/" if folder else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, keep = [], []
-            for row in pdf.itertuples():
+            out, said = [], []
+            for slide, x, y, level, own_w, own_h in pdf[["slide", "x", "y", "level", "size_x", "size_y"]].itertuples(index=False):
                 try:
-                    w, h = size or (int(row.size_x), int(row.size_y))
-                    out.append(open_slide(folder + row.slide, backend).read_region(int(row.x), int(row.y), int(row.level), w, h)[..., :3].tobytes())
-                    keep.append(row.Index)
-                except OSError as e:
-                    warnings.warn(f"{row.slide} {row.id}: {e}", GridloomWarning, stacklevel=1)
-            yield pdf.loc[keep, names].assign(pixels=out)
+                    w, h = size or (int(own_w), int(own_h))
+                    out.append(open_slide(base + slide, opens).read_region(int(x), int(y), int(level), w, h)[..., :3].tobytes())
+                    said.append(None)
+                except Exception as e:  # noqa: BLE001 - whatever a reader of a file format raises is reported
+                    out.append(None)
+                    said.append(f"{type(e).__name__}: {e}")
+            found = pdf[names].assign(pixels=out)
+            yield found.assign(**{errors: said}) if errors else found[[s is None for s in said]]
 
     return patches.repartition("slide", F.floor(F.col("y") / 8192)).mapInPandas(run, schema)
 
@@ -130,13 +163,14 @@ def thumbnail(reader: Reader, side: int = 512) -> np.ndarray:
     return image[rows.astype(int)][:, cols.astype(int)]
 
 
-def thumbnail_pixels(spark: SparkSession, paths: Sequence[str], side: int = 512, backend: str = "procedural") -> DataFrame:
+def thumbnail_pixels(spark: SparkSession, paths: Sequence[str], side: int = 512, backend: str | Opener = "procedural") -> DataFrame:
     """``slide, i, j, r, g, b, mask_height, mask_width`` of the slides' thumbnails."""
+    opens = opener(backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path in pdf["path"]:
-                image = thumbnail(open_slide(path, backend), side)
+                image = thumbnail(open_slide(path, opens), side)
                 h, w = image.shape[:2]
                 i, j = np.divmod(np.arange(h * w), w)
                 yield pd.DataFrame({"slide": path.rsplit("/", 1)[-1], "i": i, "j": j, **{c: image[..., k].ravel().astype(int) for k, c in enumerate("rgb")}, "mask_height": h, "mask_width": w})
@@ -152,6 +186,30 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write ``path, content`` as single files below the mounted folder ``root``, in the workers: ``path, bytes``.
+
+    All workers must reach ``root`` under that path. A file is written beside its place and then moved there, so a task
+    that runs twice leaves one whole file. Nothing is written before an action on the result.
+    """
+    import os
+
+    base = root.removeprefix("file://").rstrip("/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                name = f"{base}/{path}"
+                os.makedirs(os.path.dirname(name), exist_ok=True)
+                part = f"{name}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, name)
+            yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["content"].map(len)})
+
+    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+
+
 def png_files(patches: DataFrame) -> DataFrame:
     """``path, content`` of patches with pixels: ``slide/level_k/x_y_level.png``."""
 
@@ -169,16 +227,16 @@ class _Part(InputPartition):
 
 
 class _SlideReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
+    def __init__(self, options: dict[str, str], opens: Opener) -> None:
+        self.opens = opens
         self.paths = [p for p in options.get("paths", "").split(",") if p]
-        self.backend = options.get("backend", "procedural")
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         path = partition.value
-        for k, (w, h, d) in enumerate(open_slide(path, self.backend).levels):
+        for k, (w, h, d) in enumerate(open_slide(path, self.opens).levels):
             yield path.rsplit("/", 1)[-1], k, w, h, d
 
 
@@ -193,4 +251,22 @@ class SlideSource(DataSource):
         return SLIDES
 
     def reader(self, schema) -> DataSourceReader:
-        return _SlideReader(dict(self.options))
+        return _SlideReader(dict(self.options), ProceduralSlide)
+
+
+def slide_source(backend: str | Opener, format_name: str) -> type[DataSource]:
+    """A source like ``SlideSource`` under a name of its own, for another reader, which goes to the workers with it."""
+    opens = opener(backend)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return format_name
+
+        def schema(self):
+            return SLIDES
+
+        def reader(self, schema) -> DataSourceReader:
+            return _SlideReader(dict(self.options), opens)
+
+    return Source

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import NoSharedFolder
+
 #: Rows of a file where the caller knows how many rows a table has.
 ROWS_A_FILE = 1 << 20
 #: Row groups of intermediates are small, so that a writer holds little in memory.
@@ -14,8 +17,11 @@ GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and everything
+    runs in one process (tests). On a cluster a local folder would be another one on each machine, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
     return (where or f"file://{tempfile.gettempdir()}/gridloom-shared").rstrip("/")
 
 

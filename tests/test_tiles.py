@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.errors import InvalidArgument, UnknownLevelError
+from gridloom.errors import InvalidArgument, NoSharedFolder, UnknownLevelError, UnknownMethodError
 from gridloom.functions import coords
 from gridloom.operators import tiles
+from gridloom.plans import patchify
 from gridloom.plans.patchify import HierarchicalPatchifier, Patchifier, pixel_filter
+from gridloom.plans.project import Project, training_batches
 from gridloom.sources import slides as S
+from gridloom.storage import shared_dir
 
 
 def _slide(spark, width, height, levels=1):
@@ -102,6 +106,83 @@ def test_pixels_filters_and_builders(spark):
         Patchifier(0, 8, silence=3)
 
 
+class StoredSlide:
+    """A reader of files: one level, side and colour as the file says; an empty file is broken."""
+
+    def __init__(self, path):
+        with open(path) as f:
+            side, self.colour = map(int, f.read().split())
+        self.levels = [(side, side, 1.0)]
+
+    def read_region(self, x, y, level, width, height):
+        return np.full((height, width, 4), self.colour, np.uint8)
+
+
+def stored(path):
+    return StoredSlide(path)
+
+
+def test_folders_of_slides(spark, tmp_path):
+    """Slides of one name in two folders, a broken one and a nested one, tiled, with pixels, files and features."""
+    for name, content in (("a/x.mrxs", "64 10"), ("b/x.mrxs", "32 20"), ("b/c d/y+z.mrxs", "16 30"), ("b/broken.mrxs", ""), ("b/other.txt", "1 1")):
+        path = tmp_path / "slides" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content)
+    root = str(tmp_path / "slides")
+    found = patchify.folder_slides(spark, root, (".mrxs",), True, None, stored)
+    assert {r.slide for r in S.unreadable(found).collect()} == {"b/broken.mrxs"}
+    assert {(r.slide, r.width) for r in S.readable(found).collect()} == {("a/x.mrxs", 64), ("b/x.mrxs", 32), ("b/c d/y+z.mrxs", 16)}
+    out = tmp_path / "out"
+    got = Patchifier(0, 16, silence=0, backend=stored).patchify_folder(spark, root, str(out))
+    counts = {r["slide"]: r["count"] for r in got.groupBy("slide").count().collect()}
+    assert counts == {"a/x.mrxs": 16, "b/x.mrxs": 4, "b/c d/y+z.mrxs": 1}
+    assert spark.read.option("header", True).csv(str(out / "unreadable")).first().slide == "b/broken.mrxs"
+    images = spark.read.parquet(str(out / "images"))
+    assert images.count() == 21
+    assert S.write_files(images, str(tmp_path / "png")).count() == 21
+    assert (tmp_path / "png/b/c d/y+z.mrxs/level_0/0_0_0.png").read_bytes().startswith(b"\x89PNG")
+    assert HierarchicalPatchifier(0, 0, 16, backend=stored).patchify_folder(spark, root).count() == 21
+    assert Patchifier(0, 16, backend=stored).patchify_folder(spark, root, folders=["a"]).count() == 16
+    pixels = S.with_pixels(got.withColumn("slide", F.concat(F.lit("no/"), "slide")), root, stored, errors="why")
+    assert pixels.where("pixels is null and why like 'FileNotFoundError%'").count() == 21
+    with pytest.raises(UnknownMethodError):
+        S.slide_table(spark, ["x"], "no such reader")
+    spark.dataSource.register(S.slide_source(stored, "stored"))
+    assert [r.width for r in spark.read.format("stored").option("paths", f"{root}/a/x.mrxs").load().collect()] == [64]
+
+
+def test_project_of_nested_folders(spark, tmp_path):
+    """Patch files at any depth; features and training batches of pixels."""
+    for name, colour in (("p/one", 40), ("two", 80)):
+        (tmp_path / "slides" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "slides" / f"{name}.mrxs").write_text(f"16 {colour}")
+        folder = tmp_path / "project" / name
+        folder.mkdir(parents=True)
+        rows = [f"#{k},{name}#{k},{8 * (k % 2)},{8 * (k // 2)},0,8,8,8,8,None,{k}" for k in range(4)]
+        (folder / "patches.csv").write_text("\n".join(["id,global_id,x,y,level,dx,dy,size_x,size_y,parent,grade", *rows]) + "\n")
+    own = Project(spark, str(tmp_path / "project"), str(tmp_path / "slides"))
+    listed = own.list_patches(0, "grade", [("grade", "int")])
+    assert listed.count() == 8
+    mean = lambda x: x.mean(axis=(1, 2))
+    got = own.extract_features(mean, 0, stored, (8, 8), prepare=lambda x: x / 2.0)
+    assert {(r.slide_path.rsplit("/", 1)[-1], *r.features) for r in got.collect()} == {("one.mrxs", 20, 20, 20), ("two.mrxs", 40, 40, 40)}
+    batches = list(training_batches(listed.withColumn("slide", F.col("slide_path")), 3, lambda x: x + 1, stored))
+    assert [len(labels) for _, labels in batches] == [3, 3, 2] and sorted(v for _, labels in batches for v in labels) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert batches[0][0].shape == (3, 8, 8, 3) and {int(v) for b, _ in batches for v in b.ravel()} == {41, 81}
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(NoSharedFolder):
+        shared_dir(Session)
+
+
 def test_slide_source_and_levels(spark):
     spark.dataSource.register(S.SlideSource)
     got = spark.read.format("slides").option("paths", "x.mrxs,y.mrxs").load()
