@@ -428,7 +428,16 @@ def tree_build_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.complete(own, nation.select(F.col("parent").alias("node"), F.col("node").alias("child")))
 
 
-@query()
+@query("""
+WITH t AS (SELECT DISTINCT conv_id, turn, (turn - 1) // 2 AS parent FROM conversations WHERE turn > 0),
+v AS (SELECT conv_id, turn AS node FROM t UNION SELECT conv_id, parent FROM t),
+n AS (SELECT conv_id, string_agg('"' || node || '"', ',' ORDER BY CAST(node AS VARCHAR)) AS s FROM v GROUP BY conv_id),
+p AS (SELECT conv_id, string_agg('"' || turn || '":"' || parent || '"', ',' ORDER BY CAST(turn AS VARCHAR)) AS s FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, parent, string_agg('"' || turn || '"', ',' ORDER BY CAST(turn AS VARCHAR)) AS s FROM t GROUP BY conv_id, parent),
+c AS (SELECT conv_id, string_agg('"' || parent || '":[' || s || ']', ',' ORDER BY CAST(parent AS VARCHAR)) AS s FROM b GROUP BY conv_id),
+l AS (SELECT conv_id, string_agg('"' || turn || '":' || length(text) || '.0', ',' ORDER BY CAST(turn AS VARCHAR)) AS s FROM conversations GROUP BY conv_id)
+SELECT n.conv_id, '{"nodes":[' || n.s || '],"parents":{' || p.s || '},"children":{' || c.s || '},"nodeprops":{"length":{' || l.s || '}}}' AS document
+FROM n JOIN p ON p.conv_id = n.conv_id JOIN c ON c.conv_id = n.conv_id JOIN l ON l.conv_id = n.conv_id""")
 def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document a tree."""
     props = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("node"), F.lit("length").alias("name"), F.length("text").cast("double").alias("value"))
@@ -572,13 +581,34 @@ def _neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where("src < dst").select("src", "dst", F.round("dist", 9).alias("weight"))
 
 
-@query()
+#: Of the neighbour graph, an edge is in the forest if no path of edges before it, by weight and then ends, joins its ends.
+_FOREST = (
+    _DIST.replace("WITH", "WITH RECURSIVE", 1)
+    + """,
+n AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(round(sqrt(d), 9)) AS weight FROM k WHERE k <= 5 AND sqrt(d) <= 500 AND d > 0 GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER (ORDER BY weight, src, dst) AS r FROM n),
+s AS (SELECT src AS a, dst AS b, r FROM e UNION ALL SELECT dst, src, r FROM e),
+w AS (SELECT r AS edge, src AS node FROM e UNION SELECT w.edge, s.b FROM w JOIN s ON s.a = w.node AND s.r < w.edge),
+f AS (SELECT src, dst, weight, row_number() OVER (ORDER BY r) - 1 AS r FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.edge = e.r AND w.node = e.dst))"""
+)
+
+
+@query(_FOREST + " SELECT src, dst, weight FROM f")
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum spanning forest of the neighbour graph."""
     return spanning.spanning_forest(_neighbour_edges(spark, sf_dir))
 
 
-@query()
+@query(
+    _FOREST
+    + """,
+g AS (SELECT src AS a, dst AS b, r FROM f UNION ALL SELECT dst, src, r FROM f),
+h AS (SELECT r AS k, src AS leaf, src AS node, CAST(-1 AS BIGINT) AS via FROM f UNION SELECT r, dst, dst, -1 FROM f UNION SELECT h.k, h.leaf, g.b, g.r FROM h JOIN g ON g.a = h.node AND g.r < h.k),
+base AS (SELECT greatest(2 * count(*), (SELECT max(vec_id) FROM v) + 1) AS base FROM f),
+p AS (SELECT k, leaf, CASE WHEN max(via) < 0 THEN leaf ELSE max(base) + max(via) END AS part, count(DISTINCT node) AS size FROM h, base GROUP BY k, leaf)
+SELECT CAST(base + f.r AS BIGINT) AS node, CAST(a.part AS BIGINT) AS "left", CAST(b.part AS BIGINT) AS "right", f.weight, CAST(a.size + b.size AS DOUBLE) AS size
+FROM f JOIN p a ON a.k = f.r AND a.leaf = f.src JOIN p b ON b.k = f.r AND b.leaf = f.dst, base"""
+)
 def kruskal_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge tree of that forest."""
     sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.lit(1.0).alias("size"))

@@ -15,6 +15,6 @@ def test_same_as_sql(spark, name):
     assert_same(catalogue.QUERIES[name](spark, SF), SF, catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["tree_documents", "region_polygons", "agglomerative"])
+@pytest.mark.parametrize("name", ["region_polygons", "agglomerative"])
 def test_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
