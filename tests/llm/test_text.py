@@ -859,3 +859,26 @@ def test_pipeline(spark):
     enc = bpe.encoding(RANKS, PATTERN)
     for i, r in got.items():
         assert r.n_tokens == len(enc.encode_ordinary(pii.masked(rows[i])))
+
+
+def test_pipeline_is_that_of_plain_steps(spark, tmp_path):
+    """All rows of the pipeline, from plain versions of its stages: predictions row by row, components by force, SQL for overlaps."""
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").where(~langid.held_out()))
+    sure = [model.predict([t or ""]) for t in docs["text"]]
+    docs = docs[[n[0] != "und" and v[0] >= corpus_pipeline.LEAST_LANGUAGE_SCORE for n, v in sure]]
+    rows = sorted(zip(docs["doc_id"], docs["text"], strict=True))
+    first = {i for (i, _), (_, c) in zip(rows, components_by_force(rows, corpus_pipeline.SHINGLE_WORDS), strict=True) if i == c}
+    docs = docs[docs["doc_id"].isin(first)]
+    with duckdb.connect() as db:
+        db.register("documents", docs)
+        db.register("benchmark", pd.read_parquet(f"{SF}/benchmark.parquet"))
+        leaks = {r[0] for r in db.sql(queries.ORACLES["op6_decontamination"]).fetchall()}
+    enc = bpe.encoding(RANKS, PATTERN)
+    want = {i: enc.encode_ordinary(pii.masked(t)) for i, t in zip(docs["doc_id"], docs["text"], strict=True) if i not in leaks}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == {i: (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, ids in want.items()}
