@@ -79,6 +79,20 @@ def _factors(start: float | None, only: float) -> list[float]:
     return out
 
 
+def disk(radius: int) -> list[tuple[int, int]]:
+    """The cells (rows, columns from the middle) of a disk."""
+    span = range(-radius, radius + 1)
+    return [(a, b) for a in span for b in span if a * a + b * b <= radius * radius]
+
+
+def dilated(cells: DataFrame, keys: Sequence[str], radius: int, shape: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The cells that a disk (or the given cells) round any true cell covers, each once; borders are not known here."""
+    around = list(shape) if shape is not None else disk(radius)
+    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in around]))
+    moved = cells.select(*keys, "i", "j", offsets.alias("o"))
+    return moved.select(*keys, (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j")).distinct()
+
+
 def tissue_mask(pixels: DataFrame, keys: Sequence[str], r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
     """Tissue cells of stained thumbnails (keys, i, j, r, g, b), small objects removed."""
     return remove_small_objects(pixels.where(usable_thumbnail(F.col(r), F.col(g), F.col(b))).select(*keys, "i", "j"), keys)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, UnknownLevelError
+from .masks import dilated
 
 Pair = int | tuple[int, int]
 Filter = Callable[[DataFrame], DataFrame]
@@ -162,16 +163,21 @@ def sample_positions(df: DataFrame, keys: tuple[str, ...], width: str, height: s
     return ranked.where(F.col("k") <= n).drop("order_")
 
 
+def preview_shapes(patches: DataFrame, slides: DataFrame, min_res: int = 512, cell: int = 20) -> DataFrame:
+    """``slide_, s_, rows_, cols_``: scale and size of the thumbnails on which the patches are outlined."""
+    base = at_level(slides, 0).select(F.col("slide").alias("slide_"), F.col("width").alias("w_"), F.col("height").alias("h_"))
+    least = patches.groupBy("slide").agg(F.min(F.least("dx", "dy")).alias("side_"))
+    scale = F.least(F.lit(1.0), F.greatest(F.lit(float(min_res)) / F.least("w_", "h_"), F.lit(float(cell)) / F.col("side_")))
+    return base.join(least, F.col("slide") == F.col("slide_")).select("slide_", scale.alias("s_"), F.bround(F.col("h_") * scale).cast("long").alias("rows_"), F.bround(F.col("w_") * scale).cast("long").alias("cols_"))
+
+
 def outline_pixels(patches: DataFrame, slides: DataFrame, min_res: int = 512, thickness: int = 2, cell: int = 20) -> DataFrame:
     """Thumbnail pixels ``slide, i, j`` that the patches' outlines cover, each once.
 
     The thumbnail's shorter side has ``min_res`` pixels at least, and enough for a patch side of ``cell`` pixels. An
     outline is its four edges, thickened to an odd width by a disk.
     """
-    base = at_level(slides, 0).select(F.col("slide").alias("slide_"), F.col("width").alias("w_"), F.col("height").alias("h_"))
-    least = patches.groupBy("slide").agg(F.min(F.least("dx", "dy")).alias("side_"))
-    scale = F.least(F.lit(1.0), F.greatest(F.lit(float(min_res)) / F.least("w_", "h_"), F.lit(float(cell)) / F.col("side_")))
-    shape = base.join(least, F.col("slide") == F.col("slide_")).select("slide_", scale.alias("s_"), F.bround(F.col("h_") * scale).cast("long").alias("rows_"), F.bround(F.col("w_") * scale).cast("long").alias("cols_"))
+    shape = preview_shapes(patches, slides, min_res, cell)
     rows = patches.join(shape, F.col("slide") == F.col("slide_"))
     edge = lambda v, limit: F.least(F.greatest(F.bround(v * F.col("s_")).cast("long"), F.lit(0)), F.col(limit) - 1)
     rows = rows.select("slide", "rows_", "cols_", edge(F.col("y"), "rows_").alias("top"), edge(F.col("y") + F.col("dy"), "rows_").alias("bottom"), edge(F.col("x"), "cols_").alias("left"), edge(F.col("x") + F.col("dx"), "cols_").alias("right"))
@@ -182,9 +188,5 @@ def outline_pixels(patches: DataFrame, slides: DataFrame, min_res: int = 512, th
         F.transform(down, lambda i: at(i, F.col("left"))), F.transform(down, lambda i: at(i, F.col("right"))),
     )
     pixels = rows.select("slide", "rows_", "cols_", F.inline(line)).distinct()
-    radius = thickness // 2
-    disk = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    if len(disk) > 1:
-        offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disk]))
-        pixels = pixels.withColumn("o", offsets).select("slide", "rows_", "cols_", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"))
+    pixels = dilated(pixels, ["slide", "rows_", "cols_"], thickness // 2)
     return pixels.where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("rows_")) & (F.col("j") < F.col("cols_"))).select("slide", "i", "j").distinct()

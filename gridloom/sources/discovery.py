@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptyProjectError, PatchesNotFoundError, SlideNotFoundError
 from ..functions import paths as P
+from . import images
 
 PATCH_FILE = "patches.csv"
 
@@ -62,8 +63,9 @@ def images_in_folder(spark: SparkSession, folder: str, allowed: Sequence[str] =
     return files.limit(limit) if limit is not None else files
 
 
-def decoded_images(files: DataFrame, decode, schema: str = "path string, height int, width int, channels int, pixels binary") -> DataFrame:
-    """Images of a table with ``path, content``, decoded by a function from bytes to an array, in the workers."""
+def decoded_images(files: DataFrame, decode=images.decode, schema: str = "path string, height int, width int, channels int, pixels binary") -> DataFrame:
+    """Images of a table with ``path, content`` (``images.contents`` reads them), decoded in the workers by a function from
+    bytes to an array; the one given here reads PNG and plain TIFF files."""
     import pandas as pd
 
     def run(batches):

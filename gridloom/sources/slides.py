@@ -8,7 +8,6 @@ was found in, so slides of one name in several folders stay apart.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import UnknownMethodError
 from ..schema import SLIDES
+from .images import png
 
 
 class Reader(Protocol):
@@ -163,6 +163,18 @@ def thumbnail(reader: Reader, side: int = 512) -> np.ndarray:
     return image[rows.astype(int)][:, cols.astype(int)]
 
 
+def resized(reader: Reader, rows: int, cols: int) -> np.ndarray:
+    """RGB of the whole slide in ``rows`` by ``cols`` pixels: from the best level, on white, the nearest pixel of each."""
+    width, height, _ = reader.levels[0]
+    factor = min(width / cols, height / rows)
+    level = max((k for k, (_, _, d) in enumerate(reader.levels) if d <= max(1.0, factor)), default=0)
+    w, h, _ = reader.levels[level]
+    image = reader.read_region(0, 0, level, w, h).astype(np.uint16)
+    alpha = image[..., 3:] // 255
+    image = (image[..., :3] * alpha + 255 * (1 - alpha)).astype(np.uint8)
+    return image[((np.arange(rows) + 0.5) * h / rows).astype(int)][:, ((np.arange(cols) + 0.5) * w / cols).astype(int)]
+
+
 def thumbnail_pixels(spark: SparkSession, paths: Sequence[str], side: int = 512, backend: str | Opener = "procedural") -> DataFrame:
     """``slide, i, j, r, g, b, mask_height, mask_width`` of the slides' thumbnails."""
     opens = opener(backend)
@@ -178,14 +190,6 @@ def thumbnail_pixels(spark: SparkSession, paths: Sequence[str], side: int = 512,
     return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, "slide string, i long, j long, r int, g int, b int, mask_height int, mask_width int")
 
 
-def png(image: np.ndarray) -> bytes:
-    """A PNG file of H x W x 3 bytes."""
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    h, w = image.shape[:2]
-    rows = b"".join(b"\0" + line.tobytes() for line in image)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
-
-
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Write ``path, content`` as single files below the mounted folder ``root``, in the workers: ``path, bytes``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,20 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tree(spark: SparkSession, path: str, erase: bool | None = None, ask: Callable[[str], str] = input, ignore_errors: bool = True) -> bool:
+    """Remove a folder with all below it if ``erase`` is true, or if it is not given and the answer to a question is y."""
+    while erase is None:
+        erase = {"y": True, "n": False}.get(ask(f"Delete {path} and all that is in it? y/n ").strip().lower())
+    if erase:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:
+            if not ignore_errors:
+                raise
+    return erase
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a ``written`` table once nothing reads it any more."""
     spark = df.sparkSession

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import InvalidArgument, NoSharedFolder, UnknownLevelError, UnknownMethodError
 from gridloom.functions import coords
-from gridloom.operators import tiles
-from gridloom.plans import patchify
+from gridloom.operators import masks, tiles
+from gridloom.plans import patchify, pictures
 from gridloom.plans.patchify import HierarchicalPatchifier, Patchifier, pixel_filter
 from gridloom.plans.project import Project, training_batches
+from gridloom.sources import discovery, images
 from gridloom.sources import slides as S
-from gridloom.storage import shared_dir
+from gridloom.storage import remove_tree, shared_dir
 
 
 def _slide(spark, width, height, levels=1):
@@ -171,6 +172,59 @@ def test_project_of_nested_folders(spark, tmp_path):
     assert batches[0][0].shape == (3, 8, 8, 3) and {int(v) for b, _ in batches for v in b.ravel()} == {41, 81}
 
 
+def test_image_files():
+    rng = np.random.default_rng(2)
+    for shape in ((5, 7), (6, 3, 3), (4, 9, 4), (1, 1, 3)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (images.decode(images.png(image)) == image).all()
+        assert (images.decode(images.tiff(image)) == image).all()
+    with pytest.raises(UnknownMethodError):
+        images.decode(b"GIF89a")
+    above, line = rng.integers(0, 256, 12).astype(np.uint8), rng.integers(0, 256, 12).astype(np.uint8)
+    for kind in range(5):  # each filter undone as PNG defines it, sample by sample
+        want = []
+        for i, v in enumerate(line.tolist()):
+            a, b, c = (want[i - 3] if i > 2 else 0), int(above[i]), (int(above[i - 3]) if i > 2 else 0)
+            p = a + b - c
+            nearest = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            want.append((v + (0, a, b, (a + b) // 2, nearest)[kind]) & 255)
+        assert images._unfiltered(kind, line, above, 3).tolist() == want
+
+
+def test_previews_and_segmentations_as_files(spark, tmp_path):
+    table = S.slide_table(spark, ["one.mrxs"])
+    patches = tiles.root_patches(table, 2, 256)
+    (row,) = pictures.previews(patches, table, colour=(1, 2, 3)).collect()
+    image = images.decode(bytes(row.content))
+    marked = {(i, j) for i, j in zip(*np.where((image == (1, 2, 3)).all(axis=2)), strict=True)}
+    assert row.path == "one.mrxs.png" and marked == {(r.i, r.j) for r in tiles.outline_pixels(patches, table).collect()}
+    folder = tmp_path / "level_1"
+    folder.mkdir()
+    grey = np.repeat(np.arange(6, dtype=np.uint8)[:, None], 5, axis=1)
+    for name, body in (("a.png", images.png(np.stack([grey] * 3, axis=2))), ("b.tif", images.tiff(grey)), ("thumbnail.png", b""), ("b_semantic.tiff", b"")):
+        (folder / name).write_bytes(body)
+    top = lambda x: x.max(axis=1)
+    for channels in (False, True):
+        got = {r.path: images.decode(bytes(r.content)) for r in pictures.coarse_files(spark, str(tmp_path), 1, top, 2, channels).collect()}
+        want = np.zeros((6, 5), np.uint8)
+        want[:, :4] = np.repeat([[1], [1], [3], [3], [5], [5]], 4, axis=1)
+        assert set(got) == {"a_semantic.tiff", "b_semantic.tiff"} and (got["b_semantic.tiff"] == want).all()
+        assert (got["a_semantic.tiff"] == (np.stack([want] * 3, axis=2) if channels else want)).all()
+    read = discovery.decoded_images(images.contents(discovery.images_in_folder(spark, str(folder), forbidden=("thumbnail", "semantic"))))
+    assert {(r.height, r.width, r.channels) for r in read.collect()} == {(6, 5, 3), (6, 5, 1)}
+
+
+def test_dilation_and_removal(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 3, 3), (0, 3, 4), (1, 0, 0)], "m int, i int, j int")
+    got = {tuple(r) for r in masks.dilated(cells, ["m"], 1).collect()}
+    want = {(m, i + a, j + b) for m, i, j in ((0, 3, 3), (0, 3, 4), (1, 0, 0)) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))}
+    assert got == want and masks.disk(0) == [(0, 0)] and len(masks.disk(2)) == 13
+    (tmp_path / "x/y").mkdir(parents=True)
+    answers = iter(["what", "N", "y"])
+    assert not remove_tree(spark, str(tmp_path / "x"), ask=lambda _: next(answers)) and (tmp_path / "x").exists()
+    assert not remove_tree(spark, str(tmp_path / "x"), False) and remove_tree(spark, str(tmp_path / "x"), ask=lambda _: next(answers)) and not (tmp_path / "x").exists()
+
+
 def test_no_local_folder_on_a_cluster():
     class Session:
         class conf:
