@@ -177,3 +177,20 @@ def test_neighbours(spark):
     both = [r.id for r in neighbours.farthest_and_random(rows, "id", "v", 0.1, 0.2).collect()]
     assert len(both) == len(set(both)) == 8 + 16
     assert graphs.weighted_adjacency(spark.createDataFrame([(1, 2, 1.0), (2, 1, 3.0)], "src long, dst long, w double"), "w").count() == 2
+
+
+@pytest.mark.parametrize("candidates", [1, 7, 1024])
+def test_farthest_points_by_force(spark, monkeypatch, candidates):
+    """However few candidates a round has, and with ties, repeated points and points without a vector."""
+    monkeypatch.setattr(neighbours, "CANDIDATES", candidates)
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 6, (60, 3)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(points)] + [(99, None)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    n = 14 if candidates == 1 else 61
+    d, want = np.full(60, np.inf), []
+    while len(want) < n and (not want or d.max() > 0):
+        want.append(0 if not want else int(d.argmax()))
+        d = np.minimum(d, ((points - points[want[-1]]) ** 2).sum(axis=1))
+    assert [r.id for r in neighbours.farthest_points(frame, "id", "v", n).orderBy("step").collect()] == want
+    assert neighbours.farthest_points(frame.limit(0), "id", "v", 3).count() == 0
