@@ -17,6 +17,7 @@ from ..sources.documents import tree_document
 from ..sources.patches import predicted, with_label, with_predictions
 from ..sources.slides import best_level
 from .bindings import event_cells, event_patches, part_slides, quality, table, turn_tree
+from .patchify import HierarchicalPatchifier
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +69,20 @@ def tile_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.hierarchy(part_slides(spark, sf_dir, 2), 1, 0, 32).select("slide", "id", "x", "y", "level", "dx", "parent")
 
 
+_FILES = "SELECT unnest(['" + "', '".join(f"{t}.parquet" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()) + "']) AS slide"
+
+
+@query(f"""
+WITH s AS ({_FILES}), t AS (SELECT slide, unnest(range(2)) AS c FROM s), k AS (SELECT slide, c, unnest(range(4)) AS k FROM t)
+SELECT slide, '#' || (c + 1) AS id, slide || '#' || (c + 1) AS global_id, CAST(c * 2048 AS INTEGER) AS x, CAST(0 AS INTEGER) AS y, CAST(1 AS INTEGER) AS level, CAST(2048 AS INTEGER) AS dx, CAST(NULL AS VARCHAR) AS parent FROM t
+UNION ALL
+SELECT slide, '#' || (c + 1) || '#' || (k + 1), slide || '#' || (c + 1) || '#' || (k + 1), CAST(c * 2048 + (k % 2) * 1024 AS INTEGER), CAST((k // 2) * 1024 AS INTEGER), CAST(0 AS INTEGER), CAST(1024 AS INTEGER), '#' || (c + 1) FROM k""")
+def tile_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder's files found, opened as procedural slides of 4096 by 3072 pixels in the workers, and tiled on two levels."""
+    found = HierarchicalPatchifier(1, 0, 1024).patchify_folder(spark, sf_dir, extensions=(".parquet",), recurse=False)
+    return found.select("slide", "id", "global_id", "x", "y", "level", "dx", "parent")
+
+
 _CELLS = "SELECT DISTINCT event_type AS slide, event_id % 40 AS i, user_id % 15 AS j FROM events WHERE value > {least}"
 
 
