@@ -20,6 +20,7 @@ import hashlib
 import html as references
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,6 +79,12 @@ def _boilerplate(marks: str) -> tuple[bool, bool]:
     return whole, part
 
 
+@lru_cache(maxsize=1024)
+def _kinds(tag: str) -> tuple[str, ...]:
+    """The names under which the place of an open element is kept: its own, and those of the barriers it is one of."""
+    return tag, *[">"] * (tag in BARRIERS), *[">>"] * (tag in ITEM_BARRIERS)
+
+
 def _step(path: str, label: str) -> str:
     """The path of a container inside ``path``: all tags and class words from the page down, or their digest if that is long."""
     whole = f"{path}/{label}" if path else label
@@ -108,14 +115,13 @@ class Page:
         places: dict[str, list[int]] = {}  # of the open elements of each tag, and of the barriers
         last_quote = {q: source.rfind(q) for q in "\"'"}
 
-        def place(*tags: str) -> int:
-            return max((found[-1] for t in tags if (found := places.get(t))), default=-1)
-
-        def kinds(tag: str) -> list[str]:
-            return [tag, *[">"] * (tag in BARRIERS), *[">>"] * (tag in ITEM_BARRIERS)]
+        def place(tag: str) -> int:
+            return found[-1] if (found := places.get(tag)) else -1
 
         def tag_end(at: int) -> tuple[str, int]:
             """The attributes of the tag that has its name up to ``at``, and the place after it."""
+            if source.startswith(">", at):
+                return "", at + 1
             begin = at
             while m := _IN_TAG.search(source, at):
                 at = m.end()
@@ -142,7 +148,7 @@ class Page:
                     break
             _, container, dropped, linked, doubt = stack[upto]
             for tag, *_ in stack[upto:]:
-                for kind in kinds(tag):
+                for kind in _kinds(tag):
                     places[kind].pop()
             del stack[upto:]
 
@@ -171,7 +177,10 @@ class Page:
                     buffer.append(" ")
                 continue
             if tag not in INLINE:
-                if (found := place("p", *CLOSES.get(tag, ()))) >= max(0, place(">")):
+                found = place("p")
+                for ended in CLOSES.get(tag, ()):
+                    found = max(found, place(ended))
+                if found >= 0 and found >= place(">"):
                     close(found)
                 flush()
             if tag in VOID:
@@ -182,7 +191,7 @@ class Page:
                 continue
             if tag in ("html", "body"):
                 continue
-            for kind in kinds(tag):
+            for kind in _kinds(tag):
                 places.setdefault(kind, []).append(len(stack))
             stack.append((tag, container, dropped, linked, doubt))
             if tag == "a":
