@@ -389,7 +389,7 @@ def test_near_duplicates(spark, size):
     assert len(wrong) <= len(rows) // 100
 
 
-def test_near_duplicates_of_many_centres(spark):
+def many_centres():
     """Chained texts, each with variants that are near it only: no order shows a variant its centre for certain."""
     rng = random.Random(11)
 
@@ -403,11 +403,27 @@ def test_near_duplicates_of_many_centres(spark):
     for _ in range(5):
         centres.append(varied(centres[-1], 12))
     rows = [(k, " ".join(c)) for k, c in enumerate(centres)]
-    rows += [(100 + k, " ".join(varied(centres[k % 6], 16))) for k in range(900)]
-    got = neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    return rows + [(100 + k, " ".join(varied(centres[k % 6], 16))) for k in range(900)]
+
+
+def test_near_duplicates_of_many_centres(spark):
+    got = neardup.group(spark.createDataFrame(many_centres(), "doc_id long, text string"), 2).collect()
     assert [r.doc_id for r in got if r.component_id != 0] == []
 
 
+def test_all_pairs_of_long_runs_are_asked_if_a_forest_fails(spark, monkeypatch):
+    """A pair of the forest that fails on the full sets may hide another way between its components."""
+    own, asked = neardup.confirmed, []
+
+    def confirmed(pairs, *rest):
+        asked.append(pairs)
+        return own(pairs, *rest) if len(asked) != 3 else own(pairs, *rest).limit(0)  # the third are those of the forest
+
+    monkeypatch.setattr(neardup, "confirmed", confirmed)
+    got = neardup.group(spark.createDataFrame(many_centres(), "doc_id long, text string"), 2).collect()
+    assert len(asked) == 4 and [r.doc_id for r in got if r.component_id != 0] == []
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "a b c d e f g h i j k"), (10, "A B C D E F G H I J K"), (11, "a b c d e f g h i j x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
