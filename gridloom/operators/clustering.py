@@ -1,7 +1,8 @@
 """Agglomerative clustering along the links of a graph.
 
 Every step merges the linked pair with the least criterion (squared distance over link strength). Merges depend on
-each other, so a graph is one Arrow group with a heap of its own; graphs run in parallel.
+each other, so a graph is one Arrow group with a heap of its own; graphs run in parallel. Once no link is left all
+clusters are linked, and each keeps its nearest one: memory is in proportion to their number, not to their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,77 @@ from .trees import closure
 Criterion = Callable[[float, float], float]
 
 
-def dendrogram(vectors: np.ndarray, edges: Sequence[tuple[int, int, float]], criterion: Criterion = lambda d, s: d / s) -> list[tuple[int, int, float, int]]:
+def ratio(distance: float, strength: float) -> float:
+    return distance / strength
+
+
+class _Linked:
+    """Clusters of which all are linked with strength 1, in the order of their numbers.
+
+    Distances are those of the centres, which the recurrence of centroids equals, and any mean of ones is 1. Each cluster
+    has the least criterion to a later one (``near``, ``who``). Where that one is gone, or not known yet, ``near`` is no more
+    than the least, and the cluster's row is compared only when it comes to the front.
+    """
+
+    def __init__(self, numbers: Sequence[int], centres: Sequence[np.ndarray], people: Sequence[int], criterion: Criterion) -> None:
+        n = len(numbers)
+        self.criterion, self.n = criterion, n
+        self.number, self.people = np.resize(np.asarray(numbers), 2 * n), np.resize(np.asarray(people), 2 * n)
+        self.x = np.concatenate([np.stack(list(centres)), np.zeros((n, len(centres[0])))])
+        self.near, self.who, self.alive = np.full(2 * n, np.inf), np.full(2 * n, -1), np.arange(2 * n) < n
+        for k in range(n - 1):
+            self._compare(k)
+
+    def _values(self, at: int, start: int, stop: int) -> np.ndarray:
+        d = ((self.x[start:stop] - self.x[at]) ** 2).sum(axis=1)
+        values = d if self.criterion is ratio else np.array([self.criterion(v, 1.0) for v in d.tolist()], float)
+        return np.where(self.alive[start:stop] & ~np.isnan(values), values, np.inf)
+
+    def _compare(self, k: int) -> None:
+        values = self._values(k, k + 1, self.n)
+        self.who[k] = k + 1 + int(values.argmin()) if len(values) else k
+        self.near[k] = values.min(initial=np.inf)
+
+    def _pack(self) -> None:
+        kept = np.flatnonzero(self.alive[: self.n])
+        place = np.full(self.n, -1)
+        place[kept] = np.arange(len(kept))
+        who = self.who[kept]
+        for a in (self.number, self.people, self.x, self.near):
+            a[: len(kept)] = a[kept]
+        self.who[: len(kept)] = np.where(who < 0, -1, place[who])
+        self.n = len(kept)
+        self.alive[:] = np.arange(len(self.alive)) < self.n
+
+    def merge(self, c: int) -> tuple[int, int, float, int]:
+        """Merge the least pair, ties by number, into cluster ``c``."""
+        if self.alive[: self.n].sum() * 2 < self.n:
+            self._pack()
+        i = int(self.near[: self.n].argmin())
+        while self.alive[i] and self.who[i] < 0:
+            self._compare(i)
+            i = int(self.near[: self.n].argmin())
+        j = int(self.who[i])
+        if np.isinf(self.near[i]):
+            i, j = (int(k) for k in np.flatnonzero(self.alive[: self.n])[:2])
+        value = float(self.criterion(float(((self.x[j] - self.x[i]) ** 2).sum()), 1.0))
+        size = int(self.people[i] + self.people[j])
+        out = (int(self.number[i]), int(self.number[j]), value, size)
+        at = self.n
+        self.x[at] = self.x[i] + self.people[j] / size * (self.x[j] - self.x[i])  # equal centres stay what they are
+        self.number[at], self.people[at], self.near[at], self.who[at] = c, size, np.inf, at
+        self.alive[[i, j]], self.near[[i, j]], self.alive[at] = False, np.inf, True
+        self.n += 1
+        who = self.who[:at]
+        who[(who == i) | (who == j)] = -1
+        values = self._values(at, 0, at)
+        less = values < self.near[:at]
+        less &= self.alive[:at]
+        self.near[:at][less], who[less] = values[less], at
+        return out
+
+
+def dendrogram(vectors: np.ndarray, edges: Sequence[tuple[int, int, float]], criterion: Criterion = ratio) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, criterion, size) of nodes 0..n-1; the merge at step ``t`` is node ``n + t``.
 
     ``edges`` have squared distances. When clusters i and j become c, its distance to a neighbour k follows from
@@ -45,9 +116,8 @@ def dendrogram(vectors: np.ndarray, edges: Sequence[tuple[int, int, float]], cri
             heapq.heappop(heap)
         if not heap:
             left = sorted(links)
-            for at, a in enumerate(left):
-                for b in left[at + 1 :]:
-                    join(a, b, float(((centre[a] - centre[b]) ** 2).sum()), 1.0)
+            rest = _Linked(left, [centre[k] for k in left], [people[k] for k in left], criterion)
+            return out + [rest.merge(k) for k in range(c, 2 * n - 1)]
         value, i, j = heapq.heappop(heap)
         size = people[i] + people[j]
         wi, wj = people[i] / size, people[j] / size
@@ -68,7 +138,7 @@ def dendrogram(vectors: np.ndarray, edges: Sequence[tuple[int, int, float]], cri
     return out
 
 
-def agglomerate(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), criterion: Criterion = lambda d, s: d / s) -> DataFrame:
+def agglomerate(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), criterion: Criterion = ratio) -> DataFrame:
     """Dendrograms ``keys, step, left, right, distance, size`` of graphs.
 
     ``nodes`` has keys, node, vector; ``edges`` has keys, src, dst and optionally weight (a distance; squared here).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -146,6 +147,81 @@ def test_merges_follow_the_least_criterion():
     assert np.isclose(got[-1][2], ((points[:6].mean(axis=0) - points[6:].mean(axis=0)) ** 2).sum())
 
 
+def _plain_merges(points, edges, criterion):
+    """All links in a table, the least searched anew in every step."""
+    n = len(points)
+    centre, people, links = dict(enumerate(points)), dict.fromkeys(range(n), 1), {}
+    for a, b, d in edges:
+        links.setdefault((min(a, b), max(a, b)), (d, 1.0))
+    out = []
+    for c in range(n, 2 * n - 1):
+        if not links:
+            links = {(a, b): (float(((centre[a] - centre[b]) ** 2).sum()), 1.0) for a, b in itertools.combinations(sorted(centre), 2)}
+        i, j = min(links, key=lambda e: (criterion(*links[e]), e))
+        size = people[i] + people[j]
+        out.append((i, j, criterion(*links[i, j]), size))
+        wi, wj, between = people[i] / size, people[j] / size, links[i, j][0]
+        people[c], centre[c] = size, wi * centre.pop(i) + wj * centre.pop(j)
+        of = {k: [links.pop((min(k, e), max(k, e)), None) for e in (i, j)] for k in list(centre) if k != c}
+        del links[i, j]
+        for k, (to_i, to_j) in of.items():
+            if to_i and to_j:
+                links[k, c] = (wi * to_i[0] + wj * to_j[0] - wi * wj * between, wi * to_i[1] + wj * to_j[1])
+            elif to_i or to_j:
+                links[k, c] = (float(((centre[c] - centre[k]) ** 2).sum()), wi * to_i[1] if to_i else wj * to_j[1])
+    return out
+
+
+@pytest.mark.parametrize("criterion", [clustering.ratio, lambda d, s: d**0.5 / s, lambda d, s: -d * s])
+def test_merges_by_force(criterion):
+    """Pieces, single nodes and copies, until few links are left, and then all."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 12, 40):
+        points = rng.normal(size=(n, 3))
+        if criterion is clustering.ratio:
+            points[n // 2 : n // 2 + 5] = points[n // 2]
+        edges = [(int(a), int(b), float(((points[a] - points[b]) ** 2).sum())) for a, b in rng.integers(0, n, (n // 2, 2)) if a != b]
+        got, want = clustering.dendrogram(points, edges, criterion), _plain_merges(points, edges, criterion)
+        assert [(a, b, size) for a, b, _, size in got] == [(a, b, size) for a, b, _, size in want]
+        assert np.allclose([m[2] for m in got], [m[2] for m in want], atol=1e-12)
+
+
+def test_merges_without_links_hold_no_pairs():
+    """Of 600 nodes without a link, the 179,700 pairs are not held at once (they took over 50 MB)."""
+    points = np.random.default_rng(9).normal(size=(600, 4))
+    tracemalloc.start()
+    try:
+        assert clustering.dendrogram(points, [])[-1][3] == 600
+        assert tracemalloc.get_traced_memory()[1] < 5e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("shift", "digits"), [(0, 9), (0, 0), (1e7, 9)])
+def test_nearest_by_force(monkeypatch, shift, digits):
+    """Ties, copies, vectors far from the origin and those that are not finite, in strips and parts of any size."""
+    rng = np.random.default_rng(10)
+    x, y = (np.round(rng.normal(size=(n, 5)), digits) + shift for n in (90, 120))
+    y[:40], y[60:90], x[7], y[100], y[101, 2] = x[:40], y[3], np.nan, 1e200, np.inf
+    with np.errstate(all="ignore"):
+        d = sum((x[:, c, None] - y[None, :, c]) ** 2 for c in range(5))
+    d[np.arange(90), np.arange(90)] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :4]
+    want = [(i, int(j), d[i, j]) for i in range(90) for j in order[i] if np.isfinite(d[i, j])]
+    for strip, pairs in ((512, 1 << 16), (7, 50)):
+        monkeypatch.setattr(neighbours, "STRIP", strip)
+        monkeypatch.setattr(neighbours, "PAIRS", pairs)
+        assert list(zip(*(v.tolist() for v in neighbours.nearest(x, np.arange(90), y, np.arange(120), 4)), strict=True)) == want
+
+
+def test_neighbours_bring_few_candidates(spark):
+    """1,200 vectors are three blocks, each pair of which is one group: no block goes to every other with a copy of both."""
+    rows = spark.createDataFrame([(i, [float(i * i % 1201), float(i % 7)]) for i in range(1200)], "id long, v array<float>")
+    near = neighbours.knn(rows, "id", "v", 2)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and near.count() == 2400
+
+
 def test_cluster_centroids(spark):
     rng = np.random.default_rng(6)
     points = rng.normal(size=(6, 2))
