@@ -19,27 +19,34 @@ PATCH_FILE = "patches.csv"
 
 
 def _listed(spark: SparkSession, root: str, recurse: bool) -> DataFrame:
-    """``path`` (local ones without a scheme) and ``rel`` (below the root) of all files that are not hidden.
+    """``path`` (local ones without a scheme) and ``rel`` (below the root) of all files that are not hidden; or ``path, rel,
+    whole`` of what is in the root itself, where a folder with files is one row and is ``whole``.
 
     The paths are those of Spark's file index, which has empty files too; the driver has them as one string.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower())
-    found = reader.load(root if recurse else f"{root.rstrip('/')}/*")._jdf.inputFiles()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)._jdf.inputFiles()
     text = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", found)  # a line break in a name is encoded
     listed = spark.createDataFrame(pa.table({"uri": pa.array(text.split("\n") if text else [], pa.string())}))
     files = listed.select(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("path"))
     files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     files = files.withColumn("rel", F.regexp_replace(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})"), "^/", ""))
-    return files.where(~P.hidden(F.col("rel")))
+    files = files.where(~P.hidden(F.col("rel")))
+    if recurse:
+        return files
+    top = F.regexp_extract("rel", "^[^/]+", 0)
+    return files.select(F.expr("substring(path, 1, length(path) - length(rel))").alias("root"), top.alias("rel"), F.contains("rel", F.lit("/")).alias("whole")).distinct().select(F.concat("root", "rel").alias("path"), "rel", "whole")
 
 
 def get_files(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, recurse: bool = True, folders: Sequence[str] | None = None) -> DataFrame:
     """``path, rel`` of files by extension (any case). ``folders`` names the top folders to enter; then files at the
-    top are left out unless "." is named."""
+    top are left out unless "." is named. Without ``recurse`` no folder is entered, and one whose name has an extension that
+    is asked for is one file, as a table of several parts or a slide of several files is."""
     files = _listed(spark, root, recurse)
     if extensions is not None:
         files = files.where(P.has_extension(F.col("path"), extensions))
+    if not recurse:
+        return (files.where("not whole") if extensions is None else files).select("path", "rel")
     if folders is not None:
         top = F.regexp_extract("rel", "^([^/]+)/", 1)
         files = files.where(top.isin([f for f in folders if f != "."]) | ((top == "") & F.lit("." in folders)))
@@ -47,7 +54,7 @@ def get_files(spark: SparkSession, root: str, extensions: Sequence[str] | None =
 
 
 def slides_in_folder(spark: SparkSession, folder: str, extensions: Sequence[str] = (".mrxs",)) -> DataFrame:
-    """Slides of one folder by their (case-sensitive) ending; one row for each ending that fits."""
+    """Slides of one folder, files or folders themselves, by their (case-sensitive) ending; one row for each that fits."""
     files = _listed(spark, folder, False)
     fits = F.explode(F.filter(F.array(*[F.when(F.col("path").endswith(e), F.lit(e)) for e in extensions]), lambda e: e.isNotNull()))
     return files.select("path", "rel", fits.alias("ending")).withColumn("slide", P.base_name(F.col("path")))
@@ -55,7 +62,7 @@ def slides_in_folder(spark: SparkSession, folder: str, extensions: Sequence[str]
 
 def images_in_folder(spark: SparkSession, folder: str, allowed: Sequence[str] = (".png", ".jpg", ".jpeg", ".tif", ".tiff"), forbidden: Sequence[str] = ("thumbnail",), seed: int | None = None, limit: int | None = None) -> DataFrame:
     """Image files by ending, without those whose name has a forbidden part; shuffled under a seed, limited if asked."""
-    files = _listed(spark, folder, False).where(P.ends_with(F.col("path"), allowed))
+    files = _listed(spark, folder, False).where("not whole").drop("whole").where(P.ends_with(F.col("path"), allowed))
     for part in forbidden:
         files = files.where(~P.file_name(F.col("path")).contains(part))
     if seed is not None:

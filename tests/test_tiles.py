@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from gridloom.errors import InvalidArgument, NoSharedFolder, UnknownLevelError, UnknownMethodError
 from gridloom.functions import coords
 from gridloom.operators import masks, tiles
-from gridloom.plans import patchify, pictures
+from gridloom.plans import catalogue, patchify, pictures
 from gridloom.plans.patchify import HierarchicalPatchifier, Patchifier, pixel_filter
 from gridloom.plans.project import Project, training_batches
 from gridloom.sources import discovery, images
 from gridloom.sources import slides as S
 from gridloom.storage import remove_tree, shared_dir
+from tests.compare import TABLES, assert_same
 
 
 def _slide(spark, width, height, levels=1):
@@ -152,6 +153,32 @@ def test_folders_of_slides(spark, tmp_path):
     assert [r.width for r in spark.read.format("stored").option("paths", f"{root}/a/x.mrxs").load().collect()] == [64]
 
 
+def test_folders_that_are_slides(spark, tmp_path):
+    """Without recursion no folder is entered; a folder named as a slide is one, whether it has parts, deeper ones or keys."""
+    names = ("a.mrxs", "b.mrxs/part-0.mrxs", "b.mrxs/part-1.mrxs", "c d+e.MRXS/k=1/x.bin", "c d+e.MRXS/k=2/x.bin", "other/d.mrxs", "other/e.png", "f.png", "g.png/h.png", ".i.mrxs/j.mrxs", "k.mrxs/_SUCCESS")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("8 1")
+    root = str(tmp_path)
+    of = lambda df: sorted((r.path, r.rel) for r in df.collect())
+    at = lambda *rel: [(f"{root}/{n}", n) for n in rel]
+    assert of(discovery.get_files(spark, root, (".mrxs",), recurse=False)) == at("a.mrxs", "b.mrxs", "c d+e.MRXS")
+    assert of(discovery.get_files(spark, root + "/", recurse=False)) == at("a.mrxs", "f.png")
+    assert of(discovery.get_files(spark, root, (".mrxs",))) == at("a.mrxs", "b.mrxs/part-0.mrxs", "b.mrxs/part-1.mrxs", "other/d.mrxs")
+    assert of(discovery.slides_in_folder(spark, root)) == at("a.mrxs", "b.mrxs")
+    assert of(discovery.images_in_folder(spark, root)) == at("f.png")
+
+
+def test_tables_of_several_parts_are_one_slide(spark, tmp_path):
+    for k, name in enumerate(TABLES):
+        folder = tmp_path / f"{name}.parquet"
+        files = [folder] if k % 3 else [folder / "part-0000.parquet", folder / "part-0001.parquet", folder / "_SUCCESS"]
+        files[0].parent.mkdir(exist_ok=True)
+        for file in files:
+            file.write_bytes(b"x")
+    assert_same(catalogue.QUERIES["tile_folder"](spark, str(tmp_path)), "/root/testdata/sf0.001", catalogue.ORACLES["tile_folder"])
+
+
 def test_project_of_nested_folders(spark, tmp_path):
     """Patch files at any depth; features and training batches of pixels."""
     for name, colour in (("p/one", 40), ("two", 80)):
