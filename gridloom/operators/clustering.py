@@ -29,7 +29,8 @@ class _Linked:
 
     Distances are those of the centres, which the recurrence of centroids equals, and any mean of ones is 1. Each cluster
     has the least criterion to a later one (``near``, ``who``). Where that one is gone, or not known yet, ``near`` is no more
-    than the least, and the cluster's row is compared only when it comes to the front.
+    than the least, and the cluster's row is compared only when it comes to the front. Under ``ratio`` a product of the
+    centres less their mean (``f``, squared lengths ``q``) tells which distances matter; those are taken exactly.
     """
 
     def __init__(self, numbers: Sequence[int], centres: Sequence[np.ndarray], people: Sequence[int], criterion: Criterion) -> None:
@@ -38,6 +39,12 @@ class _Linked:
         self.number, self.people = np.resize(np.asarray(numbers), 2 * n), np.resize(np.asarray(people), 2 * n)
         self.x = np.concatenate([np.stack(list(centres)), np.zeros((n, len(centres[0])))])
         self.near, self.who, self.alive = np.full(2 * n, np.inf), np.full(2 * n, -1), np.arange(2 * n) < n
+        with np.errstate(all="ignore"):
+            self.mean = self.x[:n].mean(axis=0)
+            self.f = self.x - self.mean
+            self.q = np.where(self.alive, (self.f**2).sum(axis=1), np.inf)
+        self.error = 8 * (self.x.shape[1] + 8) * np.finfo(float).eps
+        self.quick = criterion is ratio and bool((self.q[:n] < 1e300).all())
         for k in range(n - 1):
             self._compare(k)
 
@@ -46,9 +53,24 @@ class _Linked:
         values = d if self.criterion is ratio else np.array([self.criterion(v, 1.0) for v in d.tolist()], float)
         return np.where(self.alive[start:stop] & ~np.isnan(values), values, np.inf)
 
+    def _about(self, at: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances and their greatest errors; infinite for clusters that are gone."""
+        q = self.q[start:stop] + self.q[at]
+        return q - 2 * (self.f[start:stop] @ self.f[at]), self.error * q
+
+    def _exact(self, at: int, others: np.ndarray) -> np.ndarray:
+        return ((self.x[others] - self.x[at]) ** 2).sum(axis=1)
+
     def _compare(self, k: int) -> None:
-        values = self._values(k, k + 1, self.n)
-        self.who[k] = k + 1 + int(values.argmin()) if len(values) else k
+        others = np.arange(k + 1, self.n)
+        if self.quick and len(others):
+            about, error = self._about(k, k + 1, self.n)
+            with np.errstate(invalid="ignore"):
+                others = np.flatnonzero(about - error <= (about + error).min()) + k + 1
+            values = self._exact(k, others)
+        else:
+            values = self._values(k, k + 1, self.n)
+        self.who[k] = others[values.argmin()] if len(values) else k
         self.near[k] = values.min(initial=np.inf)
 
     def _pack(self) -> None:
@@ -56,7 +78,7 @@ class _Linked:
         place = np.full(self.n, -1)
         place[kept] = np.arange(len(kept))
         who = self.who[kept]
-        for a in (self.number, self.people, self.x, self.near):
+        for a in (self.number, self.people, self.x, self.near, self.f, self.q):
             a[: len(kept)] = a[kept]
         self.who[: len(kept)] = np.where(who < 0, -1, place[who])
         self.n = len(kept)
@@ -79,14 +101,21 @@ class _Linked:
         at = self.n
         self.x[at] = self.x[i] + self.people[j] / size * (self.x[j] - self.x[i])  # equal centres stay what they are
         self.number[at], self.people[at], self.near[at], self.who[at] = c, size, np.inf, at
-        self.alive[[i, j]], self.near[[i, j]], self.alive[at] = False, np.inf, True
+        self.f[at] = self.x[at] - self.mean
+        self.q[at] = (self.f[at] ** 2).sum()
+        self.alive[[i, j]], self.near[[i, j]], self.q[[i, j]], self.alive[at] = False, np.inf, np.inf, True
         self.n += 1
-        who = self.who[:at]
+        who, near = self.who[:at], self.near[:at]
         who[(who == i) | (who == j)] = -1
-        values = self._values(at, 0, at)
-        less = values < self.near[:at]
-        less &= self.alive[:at]
-        self.near[:at][less], who[less] = values[less], at
+        if self.quick:
+            about, error = self._about(at, 0, at)
+            with np.errstate(invalid="ignore"):
+                others = np.flatnonzero(about - error < near)
+            values = self._exact(at, others)
+        else:
+            others, values = np.arange(at), self._values(at, 0, at)
+        less = values < near[others]
+        near[others[less]], who[others[less]] = values[less], at
         return out
 
 
